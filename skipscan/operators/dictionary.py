@@ -82,9 +82,7 @@ def bloom_bit(gram: Column, i: Column, m: Column) -> Column:
 
 def bloom_might(words: DataFrame, where: str, grams: list[str]) -> DataFrame:
     """where, might: whether a file's filter has every gram."""
-    spark = words.sparkSession
-    asked = spark.createDataFrame([(g,) for g in grams], "gram string")
-    shapes = words.select(where, "m", "k").distinct().crossJoin(F.broadcast(asked))  # the literal's few grams, for each file
+    shapes = words.select(where, "m", "k").distinct().withColumn("gram", F.explode(F.array(*map(F.lit, grams))))
     bits = shapes.select(where, F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: bloom_bit(F.col("gram"), i, F.col("m")))).alias("at"))
     bits = bits.select(where, (F.col("at") / 64).cast("long").alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
     found = bits.join(words.select(where, "word", "bits"), [where, "word"], "left")
