@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from skipscan.functions import kinds, text
 from skipscan.rules.model import Cond, Field, Rule, RuleError
 
-FIRST_POSITIONS, PINNED = 5, 500
+FIRST_POSITIONS, PINNED, STRETCH = 5, 500, 65_536
 
 
 def _member(op: str, v: Column, value: str, kind: str) -> Column:
@@ -58,14 +58,16 @@ def evaluate(df: DataFrame, rules: list[Rule], where: str, position: str) -> Dat
     """rule_id, where, matched_rows, first_positions and field_rows of each rule and
     file with at least min_count matches: all rules in one pass over df."""
     marked = df.select(where, position, *[rule_column(r, df.schema).alias(f"r{i}") for i, r in enumerate(rules)], *[field_column(f, df.schema).alias(f"f{i}_{j}") for i, r in enumerate(rules) for j, f in enumerate(r.fields)])
-    aggs = []
+    # Positions are cut down to the first few in stretches of a file, then over the stretches, so no list grows with a file.
+    stretch, few = (F.col(position) / STRETCH).cast("long"), lambda c: F.slice(F.sort_array(c), 1, FIRST_POSITIONS)
+    one, two = [], []
     for i, r in enumerate(rules):
         hit = F.col(f"r{i}")
-        per_field = [F.count_if(F.col(f"f{i}_{j}")) for j in range(len(r.fields))]
-        # The least positions: kept small in each task by a bounded top list.
-        first = F.slice(F.sort_array(F.collect_list(F.when(hit, F.col(position)))), 1, FIRST_POSITIONS) if FIRST_POSITIONS else None
-        aggs.append(F.struct(F.lit(r.id).alias("rule_id"), F.count_if(hit).alias("matched_rows"), first.alias("first_positions"), F.array(*per_field).alias("field_rows"), F.lit(r.min_count).alias("least")).alias(f"a{i}"))
-    per = marked.groupBy(where).agg(*aggs)
+        counts = F.array(F.count_if(hit), *[F.count_if(F.col(f"f{i}_{j}")) for j in range(len(r.fields))])
+        one += [counts.alias(f"n{i}"), few(F.collect_list(F.when(hit, F.col(position)))).alias(f"p{i}")]
+        sums = [F.sum(F.get(f"n{i}", F.lit(j))) for j in range(len(r.fields) + 1)]
+        two.append(F.struct(F.lit(r.id).alias("rule_id"), sums[0].alias("matched_rows"), few(F.flatten(F.collect_list(f"p{i}"))).alias("first_positions"), F.array(*sums[1:]).alias("field_rows"), F.lit(r.min_count).alias("least")).alias(f"a{i}"))
+    per = marked.groupBy(where, stretch.alias("stretch")).agg(*one).groupBy(where).agg(*two)
     out = per.select(where, F.explode(F.array(*[f"a{i}" for i in range(len(rules))])).alias("a"))
     return out.select("a.rule_id", where, "a.matched_rows", "a.first_positions", "a.field_rows").where(F.col("a.matched_rows") >= F.col("a.least"))
 
