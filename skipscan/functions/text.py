@@ -61,9 +61,9 @@ def value_terms(c: Column, cap: int = CAP) -> Column:
 def grams(c: Column, n: int = NGRAM) -> Column:
     """Distinct windows of n code points of the lowered value; a shorter value is its own gram."""
     low = F.lower(c)
-    size = F.length(low)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    return F.array_distinct(F.when(size < n, F.array(low)).otherwise(windows))
+    # One linear pass for each of the n places at which a cut into n can start.
+    cuts = [F.regexp_extract_all(F.substring(low, k, F.length(low)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for k in map(F.lit, range(1, n + 1))]
+    return F.array_distinct(F.when(F.length(low) < n, F.array(low)).otherwise(F.concat(*cuts)))
 
 
 def tokens_of(text: str) -> list[str]:

@@ -51,8 +51,8 @@ IS_COMPOUND = r"(regexp_full_match(r, '[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9a-f]+([-_
 TOKENS = f"list_filter(list_concat({PIECES}, list_filter({RUNS}, lambda r: {IS_COMPOUND})), lambda t: length(t) <= 256)"
 SEG = "doc_id // 50"
 DICT = f"(SELECT {SEG} AS seg, unnest({TOKENS}) AS term FROM documents)"
-GRAMS = "CASE WHEN len(c) < 3 THEN [array_to_string(c, '')] ELSE list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) END"
-GRAM_PAIRS = f"(SELECT DISTINCT seg, unnest({GRAMS}) AS gram FROM (SELECT {SEG} AS seg, string_split(lower(text), '') AS c FROM documents))"
+WINDOWS = "list_concat(regexp_extract_all(c, '(?s).{3}'), regexp_extract_all(c[2:], '(?s).{3}'), regexp_extract_all(c[3:], '(?s).{3}'))"
+GRAM_PAIRS = f"(SELECT DISTINCT seg, unnest(CASE WHEN length(c) < 3 THEN [c] ELSE {WINDOWS} END) AS gram FROM (SELECT {SEG} AS seg, lower(text) AS c FROM documents))"
 SEGS = f"(SELECT DISTINCT {SEG} AS seg FROM documents)"
 
 
