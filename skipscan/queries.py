@@ -366,7 +366,7 @@ def rule_min_count_index(s, d):
 # -- windows ---------------------------------------------------------------------
 
 HOURS6 = 6 * 3_600_000
-ERRORS = "SELECT coalesce(CAST(user_id AS VARCHAR), '') AS key, epoch_ms(ts) AS ms, event_id FROM events WHERE event_type = 'error'"
+ERRORS = "SELECT coalesce(CAST(user_id AS VARCHAR), '') AS key, epoch_us(ts) // 1000 AS ms, event_id FROM events WHERE event_type = 'error'"
 
 
 def errors(s, d):
