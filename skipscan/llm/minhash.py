@@ -4,14 +4,15 @@ verification, components by large-star and small-star.
 1. Each text gives the 64-bit hashes of its distinct word windows, their number,
    a 128-bit fingerprint of the set, and the minima under n universal hashes.
    Texts of equal sets are one class from here on, and classes link, not copies.
-2. Rows of minima are banded; classes in a bucket are candidates. No bucket is
-   expanded into pairs: in each round a bucket names one centre and is compared
-   with that alone, and what has been linked is merged. Buckets whose classes are
-   all of one component are finished, since no further link changes anything.
-   Once the pairs across components that are left are few, or after ROUNDS
-   rounds, those are compared one by one, so that no link is lost.
-3. A candidate pair counts if the sizes allow the similarity, the signatures
-   agree in nearly as many places, and the full sets reach it exactly.
+2. Rows of minima are banded, and each class points to the least class of each of
+   its buckets. No bucket is expanded into pairs. The components of these pointers
+   are families: whatever links shares a bucket, so all links lie within families.
+3. Families are compared in blocks of bounded size, every block with every other
+   of its family, so that no link is lost and no task grows with a family. In a
+   block, the sizes must allow the similarity, then the signatures must agree in
+   nearly as many places, then the full sets must reach it exactly; a block
+   returns a spanning forest of its links, not the pairs.
+4. The components of the links are the groups.
 
 A pair at the threshold shares no band with a probability below MISS.
 
@@ -36,10 +37,8 @@ from skipscan.llm.components import components
 
 ROWS = 5
 MISS = 1e-6
-#: Rounds with one centre a bucket at most, before pairs across components are listed;
-#: they are listed sooner if they are at most FEW times the rows of the buckets.
-ROUNDS = 12
-FEW = 4
+#: Classes of a family, and window hashes of their sets, in one block.
+BLOCK_ROWS, BLOCK_HASHES = 1000, 1_000_000
 #: Standard deviations by which an estimate may fall below the threshold.
 SLACK = 5
 
@@ -84,99 +83,109 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return rows.mapInPandas(sign, "doc_id long, n long, a long, b long, bands array<long>, sig binary")
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
+def with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (doc_id and columns of its own) with the full sets of its documents."""
+
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_set(bytes(t), k).astype(np.int64) for t in batch["text"]]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInPandas(full, "doc_id long, items array<long>")
-
-
-class _Links:
-    """Verified links between classes, found by rounds."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int):
-        self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
-        at = percent / 100
-        self.agree = math.floor(bands * ROWS * at - SLACK * math.sqrt(bands * ROWS * at * (1 - at)))
-        keyed = classes.select("doc_id", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        self.buckets, (self.size, _) = measured(keyed.join(shared, "key"), "buckets")
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def placed(self) -> DataFrame:
-        """Buckets' members with their components, and what the bucket has of them."""
-        if self.labels is None:
-            return self.buckets.withColumn("c", F.col("doc_id"))
-        labels = self.labels.select(F.col("node").alias("doc_id"), "component")
-        return self.buckets.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-
-    def centred(self, seed: int) -> DataFrame:
-        """Each member of a bucket that has several components, with the bucket's centre, but for those in the centre's component."""
-        members = self.placed()
-        order = F.col("doc_id") if not seed else F.xxhash64("doc_id", F.lit(seed))
-        centre = F.min(F.struct(order.alias("o"), "doc_id", "c"))
-        mid = members.groupBy("key").agg(centre.alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        mid = mid.select("key", F.col("m.doc_id").alias("centre"), F.col("m.c").alias("own"))
-        return members.join(mid, "key").where("c != own").select(F.least("doc_id", "centre").alias("x"), F.greatest("doc_id", "centre").alias("y"))
-
-    def across(self) -> DataFrame:
-        """All pairs of a bucket that lie in different components."""
-        members = self.placed()
-        mixed_keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = members.join(mixed_keys, "key")
-        right = left.select("key", F.col("doc_id").alias("other"), F.col("c").alias("oc"))
-        return left.join(right, "key").where("c < oc").select(F.least("doc_id", "other").alias("x"), F.greatest("doc_id", "other").alias("y"))
-
-    def left(self) -> int:
-        """Pairs of a bucket's members in different components."""
-        sizes = self.placed().groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("count * count")).alias("q"))
-        return sizes.agg(F.sum(F.expr("(n * n - q) / 2"))).first()[0] or 0
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Tests those pairs that were not tested before, and merges what they link."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
-        pairs, (n_pairs, _) = measured(pairs, "pairs")
-        if not n_pairs:
-            return
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        p, n = self.percent, self.classes
-        one = n.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"))
-        two = n.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
-        same = F.aggregate(F.sequence(F.lit(1), F.length("sx")), F.lit(0), lambda acc, i: acc + (F.substring("sx", i, F.lit(1)) == F.substring("sy", i, F.lit(1))).cast("int"))
-        able = pairs.join(one, "x").join(two, "y").where(f"100 * least(nx, ny) >= {p} * greatest(nx, ny)").where(same >= self.agree).select("x", "y")
-        able, (n_able, _) = measured(able, "able")
-        if not n_able:
-            return
-        wanted = able.select(F.col("x").alias("doc_id")).unionByName(able.select(F.col("y").alias("doc_id"))).distinct()
-        if 2 * n_able <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(wanted, "doc_id", "left_semi")
-        sets = sets_of(texts, self.k)
-        # A doc_id with several texts has several sets; a link of any is a link.
-        sx, sy = sets.select(F.col("doc_id").alias("x"), F.col("items").alias("ix")), sets.select(F.col("doc_id").alias("y"), F.col("items").alias("iy"))
-        both = F.size(F.array_intersect("ix", "iy"))
-        linked = able.join(sx, "x").join(sy, "y").where(100 * both >= p * (F.size("ix") + F.size("iy") - both))
-        linked, (n_linked, _) = measured(linked.select(F.col("y").alias("u"), F.col("x").alias("v")), "links")
-        if n_linked:
-            old = None if self.labels is None else self.labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            self.labels = materialize(components(linked if old is None else linked.unionByName(old)), "labels")
-
-    def found(self) -> DataFrame | None:
-        """(node, component) of the classes that are linked; None: there are none."""
-        if not self.size:
-            return None
-        for seed in range(ROUNDS):
-            self.verify(self.centred(seed))
-            left = self.left()
-            if left <= FEW * self.size:
-                break
-        if left:
-            self.verify(self.across())
-        return self.labels
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_set(bytes(t), k).tobytes() for t in batch["text"]]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
+    return texts.mapInPandas(full, "doc_id long, items binary").join(wanted, "doc_id").where("length(items) = 8 * n")
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each set of left has in common with each of right, by
+    products of 0/1 matrices over stretches of the items that both sides have."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def where(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, items = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(common, items)
+        at[at == len(common)] = 0
+        hit = common[at] == items if len(common) else np.zeros(len(items), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return rows[hit][order], at[hit][order]
+
+    (r1, c1), (r2, c2) = where(left), where(right)
+    step = 2048
+    for c in range(0, len(common), step):
+        pair = []
+        for rows, columns, n in ((r1, c1, len(left)), (r2, c2, len(right))):
+            a, b = np.searchsorted(columns, (c, c + step))
+            m = np.zeros((n, step), np.float32)
+            m[rows[a:b], columns[a:b] - c] = 1
+            pair.append(m)
+        out += pair[0] @ pair[1].T
+    return out
+
+
+def links(members: DataFrame, percent: int, agree: int) -> DataFrame:
+    """u, v: a spanning forest of the links in each block pair (family, i, j) of members."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        rows = rows.drop_duplicates(["doc_id", "items"])
+        sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        n, sig = rows["n"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in rows["sig"]])
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        parent = list(range(len(ids)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        step = max(1, 4_000_000 // max(1, len(two)))
+        for at in range(0, len(one), step):
+            part = one[at : at + step]
+            lo, hi = np.minimum(n[part, None], n[two]), np.maximum(n[part, None], n[two])
+            able = 100 * lo >= percent * hi
+            able &= part[:, None] < two if i == j else True
+            same = np.zeros(able.shape, np.int16)
+            for c in range(sig.shape[1]):
+                same += sig[part, c][:, None] == sig[two, c]
+            able &= same >= agree
+            x, y = able.any(1), able.any(0)
+            if not x.any():
+                continue
+            p, q = part[x], two[y]
+            both = shared([sets[k] for k in p], [sets[k] for k in q])
+            linked = able[np.ix_(x, y)] & (100 * both >= percent * (n[p, None] + n[q] - both))
+            for u, v in zip(*np.nonzero(linked), strict=True):
+                a, b = root(int(p[u])), root(int(q[v]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ids[p[u]], ids[q[v]]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return members.groupBy("family", "i", "j").applyInPandas(compare, "u long, v long")
+
+
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
+    """u, v: links between classes that give their components."""
+    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("m")).where("c > 1").select("key", "m")
+    families = materialize(components(keyed.join(least, "key").select(F.col("doc_id").alias("u"), F.col("m").alias("v"))), "families")
+    sizes = families.join(classes.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    placed = families.join(sizes.select("component", blocks.alias("blocks")), "component")
+    placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    wanted, (n, _) = measured(placed.join(classes.select("doc_id", "n", "sig"), "doc_id"), "members")
+    if n <= BROADCAST_IDS // 16:
+        few = F.broadcast(wanted)
+    else:
+        few = wanted
+    full = materialize(with_sets(docs, few, k), "sets")
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = full.withColumn("to", to).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to")).drop("to", "blocks")
+    at = percent / 100
+    agree = math.floor(bands * ROWS * at - SLACK * math.sqrt(bands * ROWS * at * (1 - at)))
+    return materialize(links(dealt, percent, agree), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -191,20 +200,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # One row for each class, under the least doc_id of its texts.
     firsts = live.join(classes, ["n", "a", "b"]).where("doc_id = rep").dropDuplicates(["n", "a", "b"]).select("doc_id", "n", "bands", "sig")
     firsts = materialize(firsts, "classes")
-    labels = _Links(docs, firsts, k, percent, bands).found()
+    found = linked(docs, firsts, k, percent, bands)
     # Rows of one doc_id but different texts join their classes.
-    several = live.groupBy("doc_id").agg(F.count_distinct("n", "a", "b").alias("c")).where("c > 1").select("doc_id")
-    own = live.join(several, "doc_id", "left_semi").join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v").distinct()
-    own, (n_own, _) = measured(own, "own")
-    if n_own:
-        old = labels.select(F.col("node").alias("u"), F.col("component").alias("v")) if labels is not None else own.limit(0)
-        labels = materialize(components(own.unionByName(old)), "labels")
+    several = live.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("x"), F.max(F.struct("n", "a", "b")).alias("y")).where("x != y").select("doc_id")
+    own = live.join(several, "doc_id", "left_semi").join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v")
+    labels = materialize(components(found.unionByName(own)), "labels")
     rows = signed.select("doc_id", "n", "a", "b").join(classes.select(F.col("n").alias("n_"), F.col("a").alias("a_"), F.col("b").alias("b_"), "rep"), F.expr("n = n_ AND a = a_ AND b = b_"), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    if labels is not None:
-        rows = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
+    rows = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
