@@ -66,13 +66,12 @@ class Permuter:
             if x < size:
                 return x
 
-    def text(self, s: str, tweak: str, back: bool = False) -> str:
-        """s with its ASCII letters and digits permuted, each within its class; all others stay."""
-        hexes = [c for c in s if c.isascii() and c.isalnum()]
-        classes = (DIGITS, LOWER, UPPER)
-        for sign in ("0123456789abcdef", "0123456789ABCDEF"):
-            if len(hexes) >= 16 and not set(hexes) - set(sign):
-                classes = (sign,)
+    def text(self, s: str, tweak: str, back: bool = False, hexes: bool = False) -> str:
+        """s with its ASCII letters and digits permuted, each within its class; all others stay.
+
+        With hexes, a long run of hexadecimal digits that has letters is of one class,
+        and stays so: the permutation is walked until its value is of that kind again."""
+        classes = _classes(s, hexes)
         at, size, x, shape = [], 1, 0, ""
         for i, c in enumerate(s):
             for k, signs in enumerate(classes):
@@ -82,11 +81,23 @@ class Permuter:
                     break
         if size == 1:
             return s
-        x, out = self.number(x, size, f"{tweak}/{len(classes)}/{shape}", back), list(s)
-        for i, signs in reversed(at):
-            x, d = divmod(x, len(signs))
-            out[i] = signs[d]
-        return "".join(out)
+        while True:
+            x, out = self.number(x, size, f"{tweak}/{len(classes)}/{shape}", back), list(s)
+            rest = x
+            for i, signs in reversed(at):
+                rest, d = divmod(rest, len(signs))
+                out[i] = signs[d]
+            if _classes(made := "".join(out), hexes) == classes:
+                return made
+
+
+def _classes(s: str, hexes: bool) -> tuple[str, ...]:
+    """The classes of signs in which s is permuted."""
+    if hexes and len(own := {c for c in s if c.isascii() and c.isalnum()}) and sum(c in own for c in s) >= 16:
+        for letters in ("abcdef", "ABCDEF"):
+            if own <= set(DIGITS + letters) and own & set(letters):
+                return (DIGITS + letters,)
+    return DIGITS, LOWER, UPPER
 
 
 def luhn(digits: str) -> int:
@@ -113,8 +124,9 @@ def _card(p: Permuter, s: str, back: bool) -> str | None:
     d = _only(s)
     if str(luhn(d[:-1])) != d[-1] or len(set(d)) == 1:
         return None
-    body = p.text(d[:-1], "card", back)
-    return _refill(s, body + str(luhn(body)))
+    while len(set(d := (body := p.text(d[:-1], "card", back)) + str(luhn(body)))) == 1:
+        pass
+    return _refill(s, d)
 
 
 def _iban(p: Permuter, s: str, back: bool) -> str | None:
@@ -198,7 +210,7 @@ def _email(p: Permuter, s: str, back: bool) -> str | None:
 
 REPLACERS: dict[str, Callable[[Permuter, str, bool], str | None]] = {
     "email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone,
-    "secret": lambda p, s, back: s[:4] + p.text(s[4:], "secret", back), "assigned": lambda p, s, back: p.text(s, "assigned", back),
+    "secret": lambda p, s, back: s[:4] + p.text(s[4:], "secret", back, True), "assigned": lambda p, s, back: p.text(s, "assigned", back, True),
 }
 
 HINT = re.compile(r"[\d@]|(?i:token|secret|passw|pwd|key)")

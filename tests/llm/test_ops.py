@@ -85,6 +85,15 @@ def test_pseudonyms_are_keyed_permutations():
     made, counts = pii.replaced(said, p)
     assert set(counts) == {"card", "email", "phone", "ip", "date", "assigned", "iban", "ssn"} and pii.replaced(made, p, True)[0] == said
     assert pii.replaced("9807915762804490 2021-02-30 999.1.1.1 version 3", p)[1] == {}
+    for digits in ("1234567890123456789"[:18], "370400440532013000", "40000000000000000"):
+        card = digits + str(pii.luhn(digits))
+        iban = "DE" + pii.iban_check("DE", digits) + digits
+        for value in (card, iban):
+            told, counts = pii.replaced(f"x {value} y", p)
+            assert counts and told != f"x {value} y" and [c.isdigit() for c in told] == [c.isdigit() for c in f"x {value} y"] and pii.replaced(told, p, True)[0] == f"x {value} y"
+    for secret in ("0123456789abcdef", "9233A8ECF7C5B09FE595", "1234567890123456", "zz00000000000000000"):
+        told = pii.replaced(f"token={secret}", p)[0]
+        assert told != f"token={secret}" and pii.replaced(told, p, True)[0] == f"token={secret}"
     assert pii.replaced("4845 1681 1440 7329", p)[0].replace(" ", "") == pii.replaced("4845168114407329", p)[0]
     assert pii.replaced(said, pii.Permuter(b"other"))[0] != made
 
