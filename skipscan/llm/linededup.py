@@ -29,27 +29,27 @@ LEAST_WORDS = 4
 HALVES = 12
 
 
-def template(line: Column) -> Column:
-    """The line with single spaces and its variable fields masked."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")), r"[^ 0-9]*+[0-9][^ ]*+", "<*>")
+def templates(text: Column) -> Column:
+    """Each line of the text, with single spaces and its variable fields masked.
 
-
-def _keys(t: Column) -> Column:
-    n = F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1)
-    half = (n / 2).cast("int")
-    path = F.substring_index(t, " ", DEPTH)
-    id_of = lambda kind, text: F.struct(F.xxhash64(F.lit(kind), n, path, text).alias("h"), F.xxhash64(text, F.lit(kind), path, n).alias("g"))
-    head = id_of("head", F.call_function("substring_index", t, F.lit(" "), half))
-    tail = id_of("tail", F.call_function("substring_index", t, F.lit(" "), -(n - half)))
-    whole = id_of("whole", t)
-    return F.when(n < LEAST_WORDS, None).when(n < HALVES, F.array(whole)).otherwise(F.array(head, tail))
+    Done on the whole text at once; a field is looked for where a word begins alone,
+    so that a long word is read once."""
+    spaced = F.regexp_replace(text, r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")
+    return F.split(F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>"), "\n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """d, th, pos and key (h, g) of each line's templates; th tells texts of one doc_id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keyed = rows.select("d", "th", "pos", template(F.col("line")).alias("t")).select("d", "th", "pos", F.explode(_keys(F.col("t"))).alias("k"))
-    return keyed.select("d", "th", "pos", "k.h", "k.g")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), templates(F.col("text")).alias("lines"))
+    # The outer form: from the inner one the planner infers filters that make the templates anew, twice. A null text has no words, so it goes below.
+    rows = texts.select("d", "th", F.posexplode_outer("lines").alias("pos", "line")).select("d", "th", "pos", F.trim("line").alias("t"))
+    rows = rows.select("*", F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1).alias("n")).where(F.col("n") >= LEAST_WORDS)
+    half, long = (F.col("n") / 2).cast("int"), F.col("n") >= HALVES
+    cut = lambda count: F.call_function("substring_index", F.col("t"), F.lit(" "), count)
+    rows = rows.select("d", "th", "pos", "t", "n", cut(F.lit(DEPTH)).alias("path"), F.when(long, cut(half)).alias("head"), F.when(long, cut(half - F.col("n"))).alias("tail"))
+    key = lambda kind, c: F.struct(F.xxhash64(F.lit(kind), "n", "path", c).alias("h"), F.xxhash64(c, F.lit(kind), "path", "n").alias("g"))
+    keys = F.when(F.col("n") < HALVES, F.array(key("whole", "t"))).otherwise(F.array(key("head", "head"), key("tail", "tail")))
+    return rows.select("d", "th", "pos", F.explode(keys).alias("k")).select("d", "th", "pos", "k.h", "k.g")
 
 
 def recurring(docs: DataFrame, least_docs: int) -> DataFrame:
