@@ -70,7 +70,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).cast("long").alias("from"))
     step = lambda a, i: F.when((F.element_at("ends", i + 1) - a["from"] > room) & (F.element_at("ends", i) > a["from"]), F.struct(F.concat(a["cuts"], F.array(i - 1)).alias("cuts"), F.element_at("ends", i).alias("from"))).otherwise(a)
     cuts = F.aggregate(F.sequence(F.lit(1), F.size("t")), start, step)["cuts"]
-    convs = convs.withColumn("cuts", cuts).select("*", F.posexplode("cuts").alias("window", "first"))
+    # No cuts are null or empty; from the inner form the planner infers filters that make them anew.
+    convs = convs.withColumn("cuts", cuts).select("*", F.posexplode_outer("cuts").alias("window", "first"))
     last = F.coalesce(F.get("cuts", F.col("window") + 1), F.size("t")) - 1
     ids = F.sequence(F.lit(0), F.size("t") - 1)
     before = F.element_at("ends", F.col("first") + 1)
