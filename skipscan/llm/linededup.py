@@ -10,7 +10,8 @@ its lines are dropped but for the first (by doc_id, then place), so that each
 passage stays once. Everything is DataFrame functions.
 
 Edge cases: a null text stays null, an empty one stays empty; lines of fewer than
-LEAST_WORDS words are never dropped; repeated rows (same doc_id and text) are one
+LEAST_WORDS words are never dropped; variable fields alone are no template (OP4_SQL
+still takes them for one); repeated rows (same doc_id and text) are one
 document and are treated alike; a null doc_id sorts first; an empty table gives
 no rows; very long lines are lines like others.
 """
@@ -47,9 +48,10 @@ def lines(docs: DataFrame) -> DataFrame:
     half, long = (F.col("n") / 2).cast("int"), F.col("n") >= HALVES
     cut = lambda count: F.call_function("substring_index", F.col("t"), F.lit(" "), count)
     rows = rows.select("d", "th", "pos", "t", "n", cut(F.lit(DEPTH)).alias("path"), F.when(long, cut(half)).alias("head"), F.when(long, cut(half - F.col("n"))).alias("tail"))
-    key = lambda kind, c: F.struct(F.xxhash64(F.lit(kind), "n", "path", c).alias("h"), F.xxhash64(c, F.lit(kind), "path", "n").alias("g"))
+    constant = lambda c: F.trim(F.replace(c, F.lit("<*>"))) != ""
+    key = lambda kind, c: F.when(constant("path") | constant(c), F.struct(F.xxhash64(F.lit(kind), "n", "path", c).alias("h"), F.xxhash64(c, F.lit(kind), "path", "n").alias("g")))
     keys = F.when(F.col("n") < HALVES, F.array(key("whole", "t"))).otherwise(F.array(key("head", "head"), key("tail", "tail")))
-    return rows.select("d", "th", "pos", F.explode(keys).alias("k")).select("d", "th", "pos", "k.h", "k.g")
+    return rows.select("d", "th", "pos", F.explode(keys).alias("k")).where("k IS NOT NULL").select("d", "th", "pos", "k.h", "k.g")
 
 
 def recurring(docs: DataFrame, least_docs: int) -> DataFrame:
