@@ -7,11 +7,16 @@ values; a balanced Feistel network over the next even power of two, walked until
 it falls below that count again, permutes it. The key and the kind alone choose
 the permutation and not the separators, so equal values get equal pseudonyms in
 all documents, different ones different pseudonyms, and a holder of the key can
-undo them. What fails validation is left as it is.
+undo them. A value may be followed by other digits or capitals: where the longest
+match fails validation, shorter ends at spaces are tried, then the other kinds, then
+later starts. What fails validation throughout is left as it is.
 
 Edge cases: a null text stays null, an empty one empty; repeated rows get the
 same result each; a value inside a longer word or number is not one; the longest
-kind at a place wins, in the order of KINDS; other columns are not looked at.
+kind at a place wins, in the order of KINDS; other columns are not looked at. A date's
+field of one digit stays one digit, so a date written with zeros has another
+pseudonym than without. A card in unusual groups, with a usual form at its start, may
+get a pseudonym whose start is valid by itself; undoing the text then misses it.
 """
 
 from __future__ import annotations
@@ -31,20 +36,29 @@ ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
-PATTERN = re.compile(
-    r"(?<![\w.+-])(?:"
-    r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30})(?!\w)"
-    r"|(?P<date>\d{4}([-/.])\d{2}\4\d{2}|\d{2}([-/.])\d{2}\5\d{4})(?![\w])"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)"
-    r"|(?P<secret>(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}))(?![\w])"
-    r"|(?i:(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*[\"']?)(?P<assigned>[A-Za-z0-9+/_-]{8,}={0,2})"
-    r")"
-)
-KINDS = ("email", "iban", "date", "ssn", "ip", "card", "phone", "secret", "assigned")
+#: How a value of each kind looks, the first kinds first; the value is the group of that name.
+FORMS = {
+    "email": r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])",
+    "iban": r"(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30})(?!\w)",
+    "date": r"(?P<date>\d{4}(?P<by>[-/.])\d{1,2}(?P=by)\d{1,2}|\d{1,2}(?P<of>[-/.])\d{1,2}(?P=of)\d{4})(?:(?=T\d)|(?!\w))",
+    "ssn": r"(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
+    "ip": r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)",
+    "card": r"(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)",
+    "phone": r"(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)",
+    "secret": r"(?P<secret>(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}))(?![\w])",
+    "assigned": r"(?i:(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*[\"']?)(?P<assigned>[A-Za-z0-9+/_-]{8,}={0,2})",
+}
+PATTERN = re.compile(rf"(?<![\w.+-])(?:{'|'.join(FORMS.values())})")
+KINDS = tuple(FORMS)
+OWN = {kind: re.compile(form) for kind, form in FORMS.items()}
+
+#: Groups of digits in which cards are written, besides one group.
+CARD_GROUPS = ((4, 6, 4), (4, 6, 5), (4, 4, 4, 4), (4, 4, 4, 4, 3))
+#: Signs of an IBAN, by country.
+IBAN_SIGNS = {country: int(n) for n, own in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for country in own.split(",")}
 
 
 class Permuter:
@@ -177,11 +191,13 @@ def _date(p: Permuter, s: str, back: bool) -> str | None:
             continue
         if not 0 <= day < DAYS:
             return None
+        wide = dict(zip(order, map(len, (a, b, c)), strict=True))
         while True:
             day = p.number(day, DAYS, "date", back)
             to = FIRST_DAY + datetime.timedelta(day)
-            made = sep.join({"y": f"{to.year:04d}", "m": f"{to.month:02d}", "d": f"{to.day:02d}"}[o] for o in order)
-            if order != "dmy" and order != "mdy" or _order_of(made, sep, orders) == order:
+            made = sep.join(f"{ {'y': to.year, 'm': to.month, 'd': to.day}[o]:0{wide[o]}d}" for o in order)
+            # A field of one digit stays one.
+            if len(made) == len(s) and (order == "ymd" or _order_of(made, sep, orders) == order):
                 return made
     return None
 
@@ -222,16 +238,42 @@ def replaced(text: str, permuter: Permuter, back: bool = False) -> tuple[str, di
     if not HINT.search(text):
         return text, counts
 
-    def put(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup in REPLACERS else next(k for k in KINDS if m[k])
-        made = REPLACERS[kind](permuter, m[kind], back)
-        if made is None:
-            return m[0]
+    out, at, start = [], 0, 0
+    while m := PATTERN.search(text, start):
+        if (value := _value(text, m, permuter, back)) is None:
+            start = m.start() + 1
+            continue
+        kind, begin, end, made = value
         counts[kind] = counts.get(kind, 0) + 1
-        a, b = m.start(kind) - m.start(), m.end(kind) - m.start()
-        return m[0][:a] + made + m[0][b:]
+        out += text[at:begin], made
+        at = start = end
+    return "".join(out) + text[at:], counts
+
+
+def _value(text: str, m: re.Match, permuter: Permuter, back: bool) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of the valid value that begins where m does, if there is one."""
+    for kind in KINDS[next(i for i, k in enumerate(KINDS) if m[k] is not None) :]:
+        if own := OWN[kind].match(text, m.start()):
+            begin = own.start(kind)
+            for end in _ends(kind, text, begin, own.end(kind)):
+                if (made := REPLACERS[kind](permuter, text[begin:end], back)) is not None:
+                    return kind, begin, end, made
+    return None
+
 
-    return PATTERN.sub(put, text), counts
+def _ends(kind: str, text: str, begin: int, longest: int) -> list[int]:
+    """Where the value may end, in the order to be tried: what has the usual form first, as
+    more may follow after a space, then the longest first."""
+    if kind not in ("iban", "card", "phone"):
+        return [longest]
+    ends = [longest] + [e for e in range(longest - 1, begin, -1) if text[e] == " " and OWN[kind].fullmatch(text, begin, e)]
+    if kind == "iban":
+        ends.sort(key=lambda e: len(_only(text[begin:e])) != IBAN_SIGNS.get(text[begin : begin + 2]))
+    elif kind == "card":
+        groups = {e: tuple(map(len, re.split("[ -]", text[begin:e]))) for e in ends}
+        usual = [e for e in ends if len(groups[e]) == 1 or groups[e] in CARD_GROUPS]
+        ends = usual[::-1] + [e for e in ends if e not in usual]
+    return ends
 
 
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
