@@ -3,10 +3,11 @@ texts, and chains of long matches.
 
 The automaton holds every run of words of every template (separators keep
 templates apart). Streaming a text through it gives, at each word, the length of
-the longest run ending there that some template has. Maximal runs of at least
-SEED words are placed in the template they come from, and runs that follow one
-another in the same template, in text and template alike, are chained into a
-span; a template whose words are covered by COVER is labelled.
+the longest run ending there that some template has. Where it has at least SEED
+words, each template's own longest runs are placed (a template may stand within
+another), and runs that follow one another in the same template, in text and
+template alike, are chained into the spans that cover most of it; a template whose
+words are covered by COVER is labelled.
 
 Labels: the base phrases' labels always, and a template's label if a span covers
 it. The score is the largest covered share of a template, and 1 where a base
@@ -151,7 +152,7 @@ class Scanner:
         """(label, first word, last word, share of the template covered) of chains."""
         get = self.vocabulary.get
         ids = [get(w, -1) for w in found]
-        runs, n, i = [], len(ids), 0
+        starts, n, i = [], len(ids), 0
         while i < n:  # stretches of known words; shorter ones have no long run
             if ids[i] < 0:
                 i += 1
@@ -160,30 +161,42 @@ class Scanner:
             while j < n and ids[j] >= 0:
                 j += 1
             if j - i >= self.seed:
-                before = 0
-                for at, (size, _) in enumerate(self.automaton.statistics(ids[i:j])):
-                    if before >= self.seed and size <= before:
-                        runs.append((i + at - before, before))
-                    before = size
-                if before >= self.seed:
-                    runs.append((j - before, before))
+                starts += (i + at - self.seed + 1 for at, (size, _) in enumerate(self.automaton.statistics(ids[i:j])) if size >= self.seed)
             i = j
-        if not runs:
-            return []
-        # Where each run stands in each template, in order of the text.
-        chains: dict[int, list[list]] = {}
-        for start, size in sorted(set(runs)):
-            run = ids[start : start + size]
-            for k, place in self.places.get(tuple(run[: self.seed]), ()):
-                if self.coded[k][place : place + size] != run:
-                    continue
-                for chain in chains.setdefault(k, []):
-                    if 0 <= start - chain[1] <= GAP and place >= chain[2]:
-                        chain[1], chain[2], chain[3] = start + size, place + size, chain[3] + size
-                        break
+        # Where each template's own longest runs stand, in order of the text: a seed continues the run one place before it in both, or begins one.
+        runs: dict[int, list[list[int]]] = {}
+        live: dict[tuple[int, int], list[int]] = {}
+        for start in starts:
+            for k, place in self.places.get(tuple(ids[start : start + self.seed]), ()):
+                run = live.get((k, place - start))
+                if run and run[0] + run[2] == start + self.seed - 1:
+                    run[2] += 1
                 else:
-                    chains[k].append([start, start + size, place + size, size])
-        return [(self.labels[k], c[0], c[1] - 1, c[3] / self.sizes[k]) for k, own in chains.items() for c in own if c[3] >= self.cover * self.sizes[k]]
+                    live[k, place - start] = run = [start, place, self.seed]
+                    runs.setdefault(k, []).append(run)
+        return [(self.labels[k], first, last, covered / self.sizes[k]) for k, own in runs.items() for first, last, covered in chains(own, self.cover * self.sizes[k])]
+
+
+def chains(runs: list[list[int]], least: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, words covered) of the chains that cover most, at least
+    `least` words each, of a template's runs (start, place, words), which come in order
+    of their starts; chains do not overlap in the text."""
+    best: list[tuple[int, int]] = []  # words covered by the best chain that ends with the run, and its first word
+    reach = GAP + max(size for _, _, size in runs)
+    for j, (start, place, size) in enumerate(runs):
+        before = (0, start)
+        for i in range(j - 1, -1, -1):
+            s, p, z = runs[i]
+            if start - s > reach:
+                break
+            if 0 <= start - s - z <= GAP and p + z <= place and best[i][0] > before[0]:
+                before = best[i]
+        best.append((before[0] + size, before[1]))
+    out: list[tuple[int, int, int]] = []
+    for covered, first, last in sorted(((c, f, s + z - 1) for (c, f), (s, _, z) in zip(best, runs, strict=True) if c >= least), key=lambda x: (-x[0], *x[1:])):
+        if all(last < f or first > t for f, t, _ in out):
+            out.append((first, last, covered))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates=None, phrases=None, seed: int = SEED, cover: float = COVER) -> DataFrame:

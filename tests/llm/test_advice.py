@@ -19,3 +19,14 @@ def test_values_before_other_digits_and_capitals():
         made, counts = pii.replaced(said, p)
         assert counts == kinds and made != said and made.endswith(kept) and len(made) == len(said) and pii.replaced(made, p, True)[0] == said
     assert pii.replaced("1234 5678 9012 3456 12 and 2021-5-3x", p) == ("1234 5678 9012 3456 12 and 2021-5-3x", {})
+
+
+def test_a_licence_within_another():
+    from skipscan.llm import licences
+
+    found = lambda text, *own: [s[:3] for s in licences.Scanner([*licences.TEMPLATES, *own], licences.PHRASES, licences.SEED, licences.COVER).spans(licences.words(text.encode()))]
+    for after in (". The source is here", " (the \"License\").", ""):
+        assert found("Licensed under the Apache License, Version 2.0" + after) == [("apache-2.0", 0, 7)]
+    assert found("k l m n o p q", ("long", "i j k l m n o p q r s t u v w"), ("short", "l m n o p")) == [("short", 1, 5)]
+    # a stray run of the template's end does not keep the rest from its chain
+    assert found("a1 b1 c1 d1 x9 e1 f1 g1 h1 i1 j1 k1", ("t", "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 e1 f1 g1")) == [("t", 0, 11)]
