@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share; a temporary one only for a local master where none is set."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if told:
         return told.rstrip("/")
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skipscan-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skipscan-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+#: Where materialize() has written the tables that are still in use.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, survives
-    a lost executor and gives the planner true sizes. The folder is the caller's
-    to clear after the job."""
+    a lost executor and gives the planner true sizes. discard() deletes it; what a
+    lazy result still reads is the caller's to clear after the job."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skipscan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize(), once all that was made of them is written."""
+    for t in tables:
+        if path := _WRITTEN.pop(t, None):
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """docs without the rows that meet one of gone, whose columns must not clash with those of docs.
+
+    gone is not looked at again once this returns: it is written and counted first. Up to BROADCAST_IDS rows it is broadcast, so that
+    texts stay where they are; beyond, both sides are shuffled."""
+    gone, (n, _) = measured(gone, "gone")
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, on, "left_anti")
 
 
 def measured(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, tuple[int, int]]:
@@ -49,11 +75,18 @@ def measured(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, tuple[int
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that carry whole texts to Python, by rows and bytes."""
+    """Bounds the Arrow batches that carry whole texts to Python, by rows and bytes.
+
+    Spark reads these settings when a query runs, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def batch_of(**columns) -> pa.RecordBatch:
+    """An Arrow batch; Arrow's own arrays pass as they are, so that 64-bit ids beside nulls stay exact."""
+    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+
+
 def text_bytes(col: str = "text") -> Column:
     """The text as UTF-8 bytes; Python then gets them undecoded. Null: empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")

@@ -1,30 +1,41 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows and documents.
 
-A window is `size` consecutive words of an item (all of a shorter item's words).
-A document holds a window only if it holds the window's rarest word, so rarity is
-counted over all documents, each window is filed under its rarest word and that
-word's place in it, and documents bring only places of such words, with the words
-around them. Bounds on length (the window must fit in) and position (the rarest
-word fixes where it starts) come before the exact comparison of all words.
-Everything is DataFrame functions.
+A window is `size` consecutive words of an item (all of a shorter item's words), and
+its tokens are its two-word shingles (the word itself where it has one alone). A
+document holds a window only if it holds the window's rarest shingle, so rarity is
+counted over all documents, each window is filed under its rarest shingle and that
+shingle's place in it (a prefix of one token suffices, as all must be there), and
+documents bring only places of such shingles, with the words around them. Bounds on
+length (the window must fit in) and position (the rarest shingle fixes where it
+starts) come before the exact comparison of all words.
+
+Documents are read through a sieve: one byte for each residue of the wanted shingles'
+hashes, of a size that follows their number up to 2**SIEVE bytes. It lets every
+wanted shingle pass, and of the others a few; the join after it decides. So there is
+one plan for benchmarks of all sizes. Everything is DataFrame functions.
 
 Edge cases: a null or empty text has no words, hits or items; an item without
 words has no window; items of equal text all count; rows of one doc_id and text
 are judged alike; a null doc_id is kept as null; a null item_id counts as an item
-but is not listed; an empty benchmark leaves every document clean.
+but is not listed; an empty benchmark leaves every document clean; other columns
+are not looked at, and clean() keeps them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import ascii_lower, materialize, table
+from skipscan.llm.common import ascii_lower, discard, materialize, measured, table, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
-#: Most distinct words of a benchmark that are put into the plan as a set; beyond it, words are joined.
-SET_WORDS = 100_000
+#: Powers of two: bytes of a sieve, at least and at most.
+SIEVE = (16, 24)
+#: Most filed windows that are broadcast (some 150 bytes each); beyond, both sides are shuffled.
+BROADCAST_WINDOWS = 250_000
 
 
 def words_of(col: str) -> Column:
@@ -38,63 +49,78 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window")).distinct()
 
 
-def among(words: DataFrame, key: str) -> tuple[list[str] | None, DataFrame]:
-    """The distinct words of a column, listed if they are few."""
-    words = words.select(key).distinct()
-    got = [r[0] for r in words.limit(SET_WORDS + 1).collect()]
-    return (got if len(got) <= SET_WORDS else None), words
+def shingles(words: Column) -> Column:
+    """The hash of each word and the next; at the last one, of the word alone."""
+    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+
+def sieve(wanted: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that all values of a column (64-bit) pass, and few others.
+
+    What comes to the driver is a bitmap of the residues, bounded by the sieve's size."""
+    n = wanted.count()
+    size = 1 << max(SIEVE[0], min(SIEVE[1], (8 * n).bit_length()))
+    bits = wanted.select((F.pmod(key, F.lit(size)) + 1).alias("r")).groupBy(F.bitmap_bucket_number("r").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("r")).alias("bits"))
+    spread = [bytes(byte >> i & 1 for i in range(8)) for byte in range(256)]
+    found = {r["at"]: b"".join(spread[byte] for byte in bytes(r["bits"])) for r in bits.collect()}
+    blank = bytes(32768)
+    held = F.lit(b"".join(found.get(i + 1, blank) for i in range(size // 32768)))
+    return lambda x: F.substring(held, F.pmod(x, F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def rarity(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """word, seen: how often each word of the benchmark stands in all documents."""
-    vocabulary = materialize(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
-    listed, _ = among(vocabulary, "word")
-    said = docs.select(words_of("text").alias("w"))
-    if listed is not None:
-        said = said.select(F.explode(F.filter("w", lambda x: x.isin(listed))).alias("word")) if listed else said.select(F.explode("w").alias("word")).limit(0)
-    else:
-        said = said.select(F.explode("w").alias("word")).join(vocabulary, "word", "left_semi")
-    seen = said.groupBy("word").agg(F.count("*").alias("c"))
-    return vocabulary.join(seen, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("seen"))
+def keys_of(windows: DataFrame) -> DataFrame:
+    """window, at, sh: the shingles of each distinct window and their places from 0."""
+    w = windows.select("window").distinct()
+    n = F.greatest(F.size("window") - 1, F.lit(1))
+    return w.select("window", F.posexplode(F.slice(shingles(F.col("window")), F.lit(1), n)).alias("at", "sh"))
 
 
-def filed(windows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Windows under their rarest word: rare, at (its first place in the window, from 0)."""
-    ranked = windows.select("window", F.explode(F.array_distinct("window")).alias("word")).distinct().join(seen, "word")
-    rare = ranked.groupBy("window").agg(F.min(F.struct("seen", "word")).alias("m"))
-    both = windows.join(rare, "window")
-    return both.select("item_id", "window", F.col("m.word").alias("rare"), (F.array_position("window", F.col("m.word")) - 1).cast("int").alias("at"))
+def spots(words: Column, passes: Callable[[Column], Column], alone: bool) -> Column:
+    """(i, sh) of each place whose shingle passes, or if wanted its word alone."""
+    kept = lambda hashes: F.filter(F.transform(hashes, lambda x, i: F.when(passes(x), F.struct(i.cast("int").alias("i"), x.alias("sh")))), lambda x: x.isNotNull())
+    pairs = kept(shingles(words))
+    return F.array_distinct(F.concat(pairs, kept(F.transform(words, lambda x: F.xxhash64(x))))) if alone else pairs
+
+
+def filed(docs: DataFrame, windows: DataFrame, alone: bool) -> tuple[DataFrame, tuple[int, int]]:
+    """Windows under their rarest shingle over all documents: sh, at (its place in the window, from 0); written and counted."""
+    vocabulary = materialize(keys_of(windows), "vocabulary")
+    passes = sieve(vocabulary.select("sh").distinct(), "sh")
+    said = docs.select(F.explode(F.transform(spots(words_of("text"), passes, alone), lambda x: x["sh"])).alias("sh"))
+    seen = said.groupBy("sh").agg(F.count("*").alias("c"))
+    ranked = vocabulary.join(seen, "sh", "left").select("window", "at", "sh", F.coalesce("c", F.lit(0)).alias("seen"))
+    rare = ranked.groupBy("window").agg(F.min(F.struct("seen", "sh", "at")).alias("m")).select("window", "m.sh", "m.at")
+    out = measured(windows.join(rare, "window").select("item_id", "window", "sh", "at"), "prefix")
+    discard(vocabulary)
+    return out
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(documents, occurrences): doc_id, th, n_words of each distinct row, and
+    """(documents, occurrences), both written: doc_id, th, n_words of each distinct row, and
     doc_id, th, item_id, start, length of each place where a window stands."""
     windows = materialize(windows_of(items, size), "windows")
-    prefix = materialize(filed(windows, rarity(docs, windows)), "prefix")
-    listed, rares = among(prefix, "rare")
+    alone = not windows.where("size(window) = 1").isEmpty()
+    prefix, (n, _) = filed(docs, windows, alone)
+    passes = sieve(prefix.select("sh").distinct(), "sh")
     # A text is known by doc_id and a hash; equal rows have equal results.
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string"), F.col("text").isNull()).alias("th"), words_of("text").alias("w"))
-    around = lambda i: F.struct(i.cast("int").alias("i"), F.element_at("w", i + 1).alias("rare"), F.greatest(i - size + 1, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - size + 2, F.lit(1)), F.least(i + 1, F.lit(size)) + size - 1).alias("near"))
-    if listed is not None:
-        # Places of rare words: gathered before anything is exploded.
-        marked = F.transform("w", lambda x, i: F.when(x.isin(listed), i)) if listed else F.array().cast("array<int>")
-        places = F.transform(F.filter(marked, lambda x: x.isNotNull()), around)
-    else:
-        places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), around)
-        places = F.when(F.size("w") > 0, places)
-    docs_ = materialize(read.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), places.alias("places")), "places")
-    spots = docs_.select("doc_id", "th", "n_words", F.explode("places").alias("p")).select("doc_id", "th", "n_words", "p.*")
-    met = spots.join(prefix, "rare")
+    around = lambda x: F.struct(x["i"].alias("i"), x["sh"].alias("sh"), F.greatest(x["i"] - size + 1, F.lit(0)).alias("from"), F.slice("w", F.greatest(x["i"] - size + 2, F.lit(1)), F.least(x["i"] + 1, F.lit(size)) + size - 1).alias("near"))
+    rows = materialize(read.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.transform(spots(F.col("w"), passes, alone), around).alias("places")), "places")
+    met = rows.select("doc_id", "th", "n_words", F.explode("places").alias("p")).select("doc_id", "th", "n_words", "p.*")
+    met = met.join(F.broadcast(prefix) if n <= BROADCAST_WINDOWS else prefix, "sh")
     start = F.col("i") - F.col("at")
     fits = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
     same = F.slice("near", start - F.col("from") + 1, F.size("window")) == F.col("window")
     found = met.where(fits).where(F.when(fits, same)).select("doc_id", "th", "item_id", start.cast("long").alias("start"), F.size("window").cast("long").alias("length"))
-    return docs_.select("doc_id", "th", "n_words"), materialize(found.distinct(), "occurrences")
+    found = materialize(found.distinct(), "occurrences")
+    discard(windows, prefix)
+    return rows, found
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     rows, found = hits(docs, items, size)
+    rows = rows.select("doc_id", "th", "n_words")
     spans = found.groupBy("doc_id", "th", "start").agg(F.max("length").alias("length"))
     order = Window.partitionBy("doc_id", "th").orderBy("start")
     reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -112,10 +138,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item."""
-    _, found = hits(docs, items, size)
-    dirty = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    rows, found = hits(docs, items, size)
+    own = "th of clean"
+    dirty = found.select(F.col("doc_id").alias("d of clean"), F.col("th").alias(own)).distinct()
     told = F.xxhash64(docs["text"].cast("string"), docs["text"].isNull())
-    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["d"]) & (told == dirty["t"]), "left_anti")
+    out = without(docs, dirty, docs["doc_id"].cast("long").eqNullSafe(F.col("d of clean")) & (told == F.col(own)))
+    discard(rows, found)
+    return out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
