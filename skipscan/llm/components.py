@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import measured
+from skipscan.llm.common import discard, materialize, measured
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v), component being its least
-    node. Each round is a table in the shared folder, so a lost executor costs a
+    node, as a table. Each round is a table in the shared folder, so a lost executor costs a
     round at most; it ends when a round changes no edge. Self-links are ignored."""
     edges, before = measured(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", "u", "v")
     while before[0]:
+        last = edges
         edges, now = measured(_small_star(_large_star(edges)), "edges", "u", "v")
+        discard(last)
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return out

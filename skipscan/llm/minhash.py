@@ -4,22 +4,24 @@ verification, components by large-star and small-star.
 1. Each text gives the 64-bit hashes of its distinct word windows, their number,
    a 128-bit fingerprint of the set, and the minima under n universal hashes.
    Texts of equal sets are one class from here on, and classes link, not copies.
-2. Rows of minima are banded, and each class points to the least class of each of
-   its buckets. No bucket is expanded into pairs. The components of these pointers
-   are families: whatever links shares a bucket, so all links lie within families.
-3. Families are compared in blocks of bounded size, every block with every other
-   of its family, so that no link is lost and no task grows with a family. In a
-   block, the sizes must allow the similarity, then the signatures must agree in
-   nearly as many places, then the full sets must reach it exactly; a block
-   returns a spanning forest of its links, not the pairs.
-4. The components of the links are the groups.
+2. Rows of minima are banded. Whatever links shares a bucket. No bucket is expanded
+   into pairs: its least class is its hub, and each class is compared with one hub,
+   the one it meets in most buckets. The components of these links are labels.
+3. A bucket that still holds several labels is open. Its classes of other labels than
+   its most frequent one are compared with all its classes, in blocks of bounded
+   size, and only across labels; a pair is compared in the first bucket that both
+   share. In a block, the sizes must allow the similarity and the signatures must
+   agree in nearly as many places; what is left of the block is read again with full
+   sets, which decide. A block returns a spanning forest of its links, not the pairs.
+4. The components of all links are the groups.
 
 A pair at the threshold shares no band with a probability below MISS.
 
 Edge cases: null, empty and white-space texts have an empty set and link with
 nothing; with fewer words than a window has, the whole sequence is the one
 window; rows of one doc_id are one node; rows with a null doc_id stay by
-themselves (component_id null, kept). Other columns are not looked at.
+themselves (component_id null, kept). Other columns are not looked at, and
+keep_first() keeps them.
 """
 
 from __future__ import annotations
@@ -29,16 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import BROADCAST_IDS, materialize, measured, mixed, shingle_hashes, small_batches, table, text_bytes
+from skipscan.llm.common import batch_of, discard, materialize, measured, mixed, shingle_hashes, small_batches, table, text_bytes, without
 from skipscan.llm.components import components
 
-ROWS = 5
-MISS = 1e-6
-#: Classes of a family, and window hashes of their sets, in one block.
+ROWS = 8
+MISS = 1e-5
+#: Minima of which a signature keeps a byte.
+SIGNED = 128
+#: Classes, and window hashes of their sets, in one block.
 BLOCK_ROWS, BLOCK_HASHES = 1000, 1_000_000
+#: Most classes whose ids, sizes and fingerprints are broadcast (32 bytes each).
+BROADCAST_CLASSES = 250_000
 #: Standard deviations by which an estimate may fall below the threshold.
 SLACK = 5
 
@@ -55,43 +62,51 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, set fingerprint (a, b), band keys, one byte of each minimum."""
     n = bands * ROWS
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(91))
         mul = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         add = rng.integers(0, 2**32, n, dtype=np.uint32)
         salt = rng.integers(1, 2**63, bands, dtype=np.uint64)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingle_set(bytes(text), k)
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py(), k)
                 if not len(s):
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((0, None, None, None, None))
                     continue
                 x = (s >> np.uint64(32)).astype(np.uint32)
                 least = np.full(n, 2**32 - 1, np.uint32)
-                for i in range(0, len(x), 1024):
-                    np.minimum(least, (x[i : i + 1024, None] * mul + add).min(axis=0), out=least)
+                for i in range(0, len(x), 512):
+                    np.minimum(least, (x[i : i + 512, None] * mul + add).min(axis=0), out=least)
                 with np.errstate(over="ignore"):
                     key = salt.copy()
                     for r in range(ROWS):
                         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
                     prints = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-                out.append((doc_id, len(s), *(int(p.astype(np.int64)) for p in prints), key.astype(np.int64), (least & 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "bands", "sig"]).astype({"doc_id": "Int64", "a": "Int64", "b": "Int64"})
+                out.append((len(s), *(int(p.astype(np.int64)) for p in prints), key.astype(np.int64), (least[:SIGNED] & 255).astype(np.uint8).tobytes()))
+            size, first, second, keys, sig = zip(*out, strict=True) if out else [()] * 5
+            yield batch_of(doc_id=batch.column("doc_id"), n=pa.array(size, pa.int64()), a=pa.array(first, pa.int64()), b=pa.array(second, pa.int64()), bands=pa.array(keys, pa.list_(pa.int64())), sig=pa.array(sig, pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, n long, a long, b long, bands array<long>, sig binary")
+    return rows.mapInArrow(sign, "doc_id long, n long, a long, b long, bands array<long>, sig binary")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (doc_id and columns of its own) with the full sets of its documents."""
+    """node, n, items: the full sets of the classes of wanted (node, rep, n, a, b), read from a text of the row rep."""
 
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_set(bytes(t), k).tobytes() for t in batch["text"]]})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    return texts.mapInPandas(full, "doc_id long, items binary").join(wanted, "doc_id").where("length(items) = 8 * n")
+            sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
+            first = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+            yield batch_of(rep=batch.column("rep"), sum=pa.array(first, pa.int64()), items=pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    few, (n, _) = measured(wanted, "wanted")
+    known = F.broadcast(few) if n <= BROADCAST_CLASSES else few
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text")).join(known.select("rep"), "rep", "left_semi")
+    met = texts.mapInArrow(full, "rep long, sum long, items binary").join(known, "rep").where("length(items) = 8 * n AND sum = a")
+    out = materialize(met.dropDuplicates(["node"]).select("node", "n", "items"), "sets")
+    discard(few)
+    return out
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -121,71 +136,123 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(members: DataFrame, percent: int, agree: int) -> DataFrame:
-    """u, v: a spanning forest of the links in each block pair (family, i, j) of members."""
+def blocks_of(rows: str, hashes: str):
+    """How many blocks so many classes with so many window hashes make."""
+    return F.greatest(F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(hashes) / BLOCK_HASHES)), F.lit(1)).cast("int")
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.drop_duplicates(["doc_id", "items"])
-        sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-        ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
-        n, sig = rows["n"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in rows["sig"]])
-        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        parent = list(range(len(ids)))
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: the pairs (node, hub) that link. A hub's classes are dealt to blocks, and it is sent to each."""
+    sized = pairs.join(sets.select("node", "n"), "node")
+    counts = sized.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes")).select("hub", blocks_of("rows", "hashes").alias("blocks"))
+    members = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node")
+    hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
 
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        is_hub = rows["node"] == rows["hub"]
+        hub = np.frombuffer(rows["items"][is_hub].iloc[0], np.uint64)
         out = []
-        step = max(1, 4_000_000 // max(1, len(two)))
-        for at in range(0, len(one), step):
-            part = one[at : at + step]
-            lo, hi = np.minimum(n[part, None], n[two]), np.maximum(n[part, None], n[two])
-            able = 100 * lo >= percent * hi
-            able &= part[:, None] < two if i == j else True
-            same = np.zeros(able.shape, np.int16)
-            for c in range(sig.shape[1]):
-                same += sig[part, c][:, None] == sig[two, c]
-            able &= same >= agree
-            x, y = able.any(1), able.any(0)
-            if not x.any():
-                continue
-            p, q = part[x], two[y]
-            both = shared([sets[k] for k in p], [sets[k] for k in q])
-            linked = able[np.ix_(x, y)] & (100 * both >= percent * (n[p, None] + n[q] - both))
+        for node, v, items in rows.loc[~is_hub, ["node", "hub", "items"]].itertuples(index=False):
+            s = np.frombuffer(items, np.uint64)
+            if 100 * min(len(s), len(hub)) >= percent * max(len(s), len(hub)):
+                both = len(np.intersect1d(s, hub, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(hub) - both):
+                    out.append((node, v))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return members.unionByName(hubs).join(sets, "node").groupBy("hub", "block").applyInPandas(compare, "u long, v long")
+
+
+def candidates(rows: pd.DataFrame, percent: int, agree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block pair's classes on both sides, and which pairs may link: across labels, by
+    sizes and signatures, and only in the first bucket that both share."""
+    block, i, j = rows["block"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    n, label = rows["n"].to_numpy(), rows["label"].to_numpy()
+    able = label[one, None] != label[two]
+    lo, hi = np.minimum(n[one, None], n[two]), np.maximum(n[one, None], n[two])
+    able &= 100 * lo >= percent * hi
+    if i == j:
+        able &= one[:, None] < two
+    bands = np.stack(rows["bands"].to_numpy())
+    for c in range(int(np.flatnonzero(bands[0] == rows["key"].iloc[0])[0])):
+        able &= bands[one, c][:, None] != bands[two, c]
+    x, y = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+    one, two, able = one[x], two[y], able[np.ix_(x, y)]
+    if len(one):
+        sig = np.stack([np.frombuffer(s, np.uint8) for s in rows["sig"]])
+        same = np.zeros(able.shape, np.int16)
+        for c in range(sig.shape[1]):
+            same += sig[one, c][:, None] == sig[two, c]
+        able &= same >= agree
+    return one, two, able
+
+
+def open_links(met: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, agree: int) -> DataFrame:
+    """u, v: a spanning forest, by block, of the links across labels in the buckets of met (key, node)."""
+    size = classes.select("node", "n")
+    rows = met.select("key", "node").join(size, "node").join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"))
+    buckets = by_label.groupBy("key").agg(F.max(F.struct("rows", "hashes", "label")).alias("most"), F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes")).where("labels > 1")
+    buckets = buckets.select("key", F.col("most.label").alias("most"), F.col("most.rows").alias("r"), F.col("most.hashes").alias("h"), (F.col("rows") - F.col("most.rows")).alias("r1"), (F.col("hashes") - F.col("most.hashes")).alias("h1"))
+    buckets = buckets.select("key", "most", blocks_of("r1", "h1").alias("few"), blocks_of("r", "h").alias("many"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("most"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    rows = rows.join(buckets, "key").withColumn("block", F.when(F.col("label") == F.col("most"), F.col("few") + mine).otherwise(mine))
+    last = F.when(F.col("label") == F.col("most"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    dealt = rows.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("to"))
+    dealt = materialize(dealt.select("key", "node", "label", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j")), "dealt")
+    names = ["key", "i", "j", "node", "label", "block"]
+
+    def look(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two, able = candidates(rows, percent, agree)
+        return rows[names].iloc[np.union1d(one[able.any(1)], two[able.any(0)])] if len(one) else rows[names].iloc[:0]
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two, able = candidates(rows, percent, agree)
+        out: list[tuple[int, int]] = []
+        if len(one):
+            sets, ids, n = [np.frombuffer(x, np.uint64) for x in rows["items"]], rows["node"].to_numpy(), rows["n"].to_numpy()
+            parent = list(range(len(ids)))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            both = shared([sets[k] for k in one], [sets[k] for k in two])
+            linked = able & (100 * both >= percent * (n[one, None] + n[two] - both))
             for u, v in zip(*np.nonzero(linked), strict=True):
-                a, b = root(int(p[u])), root(int(q[v]))
+                a, b = root(int(one[u])), root(int(two[v]))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((ids[p[u]], ids[q[v]]))
+                    out.append((ids[one[u]], ids[two[v]]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return members.groupBy("family", "i", "j").applyInPandas(compare, "u long, v long")
-
-
-def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
-    """u, v: links between classes that give their components."""
-    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("m")).where("c > 1").select("key", "m")
-    families = materialize(components(keyed.join(least, "key").select(F.col("doc_id").alias("u"), F.col("m").alias("v"))), "families")
-    sizes = families.join(classes.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"))
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES)).cast("int")
-    placed = families.join(sizes.select("component", blocks.alias("blocks")), "component")
-    placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    wanted, (n, _) = measured(placed.join(classes.select("doc_id", "n", "sig"), "doc_id"), "members")
-    if n <= BROADCAST_IDS // 16:
-        few = F.broadcast(wanted)
-    else:
-        few = wanted
-    full = materialize(with_sets(docs, few, k), "sets")
-    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = full.withColumn("to", to).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to")).drop("to", "blocks")
+    wide = dealt.join(classes.select("node", "n", "bands", "sig"), "node")
+    kept = materialize(wide.groupBy("key", "i", "j").applyInPandas(look, "key long, i int, j int, node long, label long, block int"), "kept")
+    wide = kept.join(classes.select("node", "n", "bands", "sig"), "node").join(sets.select("node", "items"), "node")
+    out = materialize(wide.groupBy("key", "i", "j").applyInPandas(link, "u long, v long"), "links")
+    discard(dealt, kept)
+    return out
+
+
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """u, v: links between classes that give their components, as a table."""
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("key", "hub")
+    met = materialize(keyed.join(least, "key"), "met")
+    sets = with_sets(docs, classes.select("node", "rep", "n", "a", "b").join(met.select("node").distinct(), "node", "left_semi"), k)
+    often = met.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    pairs = often.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", "m.hub")
+    first = materialize(hub_links(pairs, sets, percent), "links")
+    labels = components(first)
     at = percent / 100
-    agree = math.floor(bands * ROWS * at - SLACK * math.sqrt(bands * ROWS * at * (1 - at)))
-    return materialize(links(dealt, percent, agree), "links")
+    agree = math.floor(SIGNED * at - SLACK * math.sqrt(SIGNED * at * (1 - at)))
+    second = open_links(met, classes, sets, labels, percent, agree)
+    out = materialize(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u != v").unionByName(second), "links")
+    discard(met, sets, first, labels, second)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -193,25 +260,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not 0 < percent <= 100 or k < 1:
         raise ValueError("k must be positive and percent in 1..100")
     small_batches(docs.sparkSession)
-    bands = bands_for(min(percent, 99))
-    signed = materialize(signatures(docs, k, bands), "signatures")
-    live = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    # One row for each class, under the least doc_id of its texts.
-    firsts = live.join(classes, ["n", "a", "b"]).where("doc_id = rep").dropDuplicates(["n", "a", "b"]).select("doc_id", "n", "bands", "sig")
-    firsts = materialize(firsts, "classes")
-    found = linked(docs, firsts, k, percent, bands)
-    # Rows of one doc_id but different texts join their classes.
-    several = live.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("x"), F.max(F.struct("n", "a", "b")).alias("y")).where("x != y").select("doc_id")
-    own = live.join(several, "doc_id", "left_semi").join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v")
-    labels = materialize(components(found.unionByName(own)), "labels")
-    rows = signed.select("doc_id", "n", "a", "b").join(classes.select(F.col("n").alias("n_"), F.col("a").alias("a_"), F.col("b").alias("b_"), "rep"), F.expr("n = n_ AND a = a_ AND b = b_"), "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    rows = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    signed = materialize(signatures(docs, k, bands_for(min(percent, 99))), "signatures")
+    rows, (total, _) = measured(signed.select("doc_id", "n", "a", "b"), "rows")
+    live = rows.where("n > 0 AND doc_id IS NOT NULL")
+    key = ["n", "a", "b"]
+    reps = live.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    # A class goes by its least doc_id, but where rows of one doc_id differ, by a hash; such rows link their classes.
+    several = live.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x != y").select("doc_id")
+    several, (twice, _) = measured(several, "several")
+    node = F.col("rep")
+    if twice:
+        reps = reps.join(several.select(F.col("doc_id").alias("rep"), F.lit(True).alias("differs")), "rep", "left")
+        node = F.when(F.col("differs"), F.xxhash64(*key)).otherwise(node)
+    reps = materialize(reps.select(*key, "rep", "c", node.alias("node")), "reps")
+    whole = signed.join(reps.select(F.col("rep").alias("doc_id"), *key, "rep", "node"), ["doc_id", *key]).dropDuplicates(["node"])
+    classes = materialize(whole.select("node", "rep", *key, "bands", "sig"), "classes")
+    discard(signed)
+    found = linked(docs, classes, k, percent)
+    links = found
+    if twice:
+        both = live.join(several, "doc_id", "left_semi").join(reps, key).select("doc_id", "node")
+        links = found.unionByName(both.join(both.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").select(F.col("node").alias("u"), "v").where("u != v"))
+    labels = components(links)
+    discard(classes, several, found)
+    # What is not linked and has one text needs no join: its component is its own.
+    named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("c").alias("of")).where("of > 1")
+    named = materialize(named.select(*key, "c", "component").join(least, "component").select(*key, "c", "component_id"), "named")
+    discard(reps, labels)
+    # A class of more than a thousandth of all rows, of which there are fewer than a thousand, is broadcast; so no task gets a large class.
+    large = max(1000, total // 1000)
+    hot, cold = F.broadcast(named.where(F.col("c") > large).drop("c")), named.where(F.col("c") <= large).drop("c")
+    own = rows.where("n > 0 AND doc_id IS NOT NULL")
+    alone = rows.where("NOT n > 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    of = own.join(hot, key).unionByName(own.join(hot, key, "left_anti").join(cold, key, "left")).unionByName(alone)
+    out = of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps."""
+    gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("doc_id of a copy")).distinct()
+    return without(docs, gone, docs["doc_id"].cast("long") == F.col("doc_id of a copy"))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
