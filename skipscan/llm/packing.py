@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import materialize, small_batches, table, text_bytes
+from skipscan.llm.common import batch_of, materialize, small_batches, table, text_bytes
 from skipscan.llm.tokens import Encoder
 
 CAPACITY = 2048
@@ -86,36 +86,44 @@ def pack(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
         k += 1
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, blocks: int) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | Callable[[], str], capacity: int, blocks: int) -> DataFrame:
     """One row for each full window (block -1; it is a sequence by itself) and each rest, which carries its ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, row = Encoder(vocabulary), 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, row = Encoder(vocabulary if isinstance(vocabulary, str) else vocabulary()), 0
         for batch in batches:
-            texts = [bytes(x).decode("utf-8", "replace") for x in batch["text"]]
+            texts = [t.as_py().decode("utf-8", "replace") for t in batch.column("text")]
+            known = batch.column("doc_id").to_pylist()
             ids, counts = encoder.encode(texts)
             ids, at, out = ids.astype("<u4"), 0, []
-            for doc_id, n in zip(batch["doc_id"], counts.tolist(), strict=True):
+            for i, n in enumerate(counts.tolist()):
                 raw = ids[at : at + n].tobytes() + END_ID.to_bytes(4, "little")
                 at, n = at + n, n + 1
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
                     crc = zlib.crc32(raw[4 * start : 4 * (start + size)])
                     if size == capacity:
-                        out.append((doc_id, start, size, crc, n, -1, None))
+                        out.append((known[i], start, size, crc, n, -1, None))
                     else:
-                        out.append((doc_id, start, size, crc, n, zlib.crc32(f"{doc_id} {n} {crc} {row}".encode()) % blocks, raw[4 * start :]))
+                        out.append((known[i], start, size, crc, n, zlib.crc32(f"{known[i]} {n} {crc} {row}".encode()) % blocks, raw[4 * start :]))
                 row += 1
-            made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "block", "ids"])
-            yield made.astype({"doc_id": "Int64"})
+            yield arrow(out, PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(cut, PIECES)
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of the columns that schema names, long or binary."""
+    names = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return batch_of(**{c: pa.array(x, pa.binary() if t == "binary" else pa.int64()) for (c, t), x in zip(names, columns, strict=True)})
+
+
+def packed(docs: DataFrame, vocabulary: str | Callable[[], str], capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Rows of PACKED: where each piece of each document stands.
 
-    A document's ids are in its pieces once each, by start and length."""
+    A document's ids are in its pieces once each, by start and length. vocabulary is
+    the tokenizers file on the executors, or a function that finds it there."""
     if capacity < 2:
         raise ValueError("capacity must be 2 at least")
     small_batches(docs.sparkSession)
@@ -123,20 +131,19 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, block: in
     blocks = max(1, -(-docs.count() // block))
     cut = materialize(pieces(docs, vocabulary, capacity, blocks), "pieces")
 
-    def fill(key: tuple, rests: pd.DataFrame) -> pd.DataFrame:
-        rests = rests.sort_values(["length", "doc_id", "ids_crc32"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        rows = list(rests.itertuples(index=False))
-        out = []
-        for i, window in enumerate(pack(rests["length"].tolist(), capacity)):
+    def fill(rests: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(rests.column(c).to_pylist() for c in ("length", "doc_id", "ids_crc32", "start", "doc_tokens", "ids")), strict=True), key=lambda r: (-r[0], r[1] is not None, r[1] or 0, r[2]))
+        number, out = rests.column("block")[0].as_py(), []
+        for i, window in enumerate(pack([r[0] for r in rows], capacity)):
             at = 0
             for j, start, n in window:
-                r = rows[j]
-                out.append((r.doc_id, r.start + start, n, zlib.crc32(r.ids[4 * start : 4 * (start + n)]), r.doc_tokens, 2 * (i * blocks + int(key[0])), at))
+                _, doc_id, _, first, tokens, ids = rows[j]
+                out.append((doc_id, first + start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), tokens, 2 * (i * blocks + number), at))
                 at += n
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        return pa.Table.from_batches([arrow(out, PACKED)])
 
     full = cut.where("block < 0").select(*names[:5], (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return cut.where("block >= 0").groupBy("block").applyInPandas(fill, PACKED).unionByName(full)
+    return cut.where("block >= 0").groupBy("block").applyInArrow(fill, PACKED).unionByName(full)
 
 
 def vocabulary_path() -> str:
@@ -146,4 +153,4 @@ def vocabulary_path() -> str:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), vocabulary_path())
+    return packed(table(spark, sf_dir, "documents"), vocabulary_path)

@@ -26,11 +26,11 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import small_batches, table
+from skipscan.llm.common import batch_of, small_batches, table
 
 ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,7 +38,7 @@ FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - dateti
 
 #: How a value of each kind looks, the first kinds first; the value is the group of that name.
 FORMS = {
-    "email": r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])",
+    "email": r"(?P<email>(?<!%)[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])",
     "iban": r"(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30})(?!\w)",
     "date": r"(?P<date>\d{4}(?P<by>[-/.])\d{1,2}(?P=by)\d{1,2}|\d{1,2}(?P<of>[-/.])\d{1,2}(?P=of)\d{4})(?:(?=T\d)|(?!\w))",
     "ssn": r"(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
@@ -46,7 +46,7 @@ FORMS = {
     "card": r"(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)",
     "phone": r"(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)",
     "secret": r"(?P<secret>(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}))(?![\w])",
-    "assigned": r"(?i:(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*[\"']?)(?P<assigned>[A-Za-z0-9+/_-]{8,}={0,2})",
+    "assigned": r"(?i:(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*+[=:]\s*+[\"']?)(?P<assigned>[A-Za-z0-9+/_-]{8,}={0,2})",
 }
 PATTERN = re.compile(rf"(?<![\w.+-])(?:{'|'.join(FORMS.values())})")
 KINDS = tuple(FORMS)
@@ -282,14 +282,16 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
         raise ValueError("a key is needed")
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permuter = Permuter(key)
         for b in batches:
-            out = [(t, {}) if t is None else replaced(t, permuter) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": [t for t, _ in out], "n_replaced": [sum(c.values()) for _, c in out], "kinds": [c for _, c in out]})
+            out = [(None, {}) if not t.is_valid else replaced(t.as_py(), permuter) for t in b.column("text")]
+            texts, counts = pa.array([t for t, _ in out], pa.string()), [list(c.items()) for _, c in out]
+            n = pa.array([sum(c.values()) for _, c in out], pa.int64())
+            yield batch_of(doc_id=b.column("doc_id"), text=texts, n_replaced=n, kinds=pa.array(counts, pa.map_(pa.string(), pa.int64())))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text string, n_replaced long, kinds map<string,long>")
+    return rows.mapInArrow(run, "doc_id long, text string, n_replaced long, kinds map<string,long>")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

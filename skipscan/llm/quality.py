@@ -17,12 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipscan.llm.common import materialize, shingle_hashes, small_batches, table, text_bytes
+from skipscan.llm.common import batch_of, discard, materialize, shingle_hashes, small_batches, table, text_bytes
 
 KEEP = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -33,21 +32,26 @@ COMMON_WORDS = frozenset(
     "the and of to a in that is was for with on it be as at by he are this from or la de que el en los las del un una se por con no le les des et une est dans du au pour qui sur pas ce il der die und den von das ist ein eine zu mit im dem nicht für auf sich als auch".split()
 )
 
-#: Rule, then vote from the features: (bad if, good if).
+
+def latin(f: dict[str, np.ndarray]) -> np.ndarray:
+    return 2 * f["n_other"] <= f["n_letters"]
+
+
+#: Rule, then vote from the features: (bad if, good if). Rules on words of Latin letters abstain where most letters are of other scripts.
 RULES = {
     "symbols": (lambda f: f["n_symbols"] > 0.1 * f["n_words"], lambda f: f["n_symbols"] <= 0.01 * f["n_words"]),
     "dup_lines": (lambda f: f["n_dup_lines"] > 0.3 * f["n_lines"], lambda f: (f["n_dup_lines"] == 0) & (f["n_lines"] >= 3)),
     "repeats": (lambda f: f["n_repeat_words"] > 0.3 * f["n_words"], lambda f: f["n_repeat_words"] <= 0.05 * f["n_words"]),
-    "word_length": (lambda f: (f["word_chars"] > 7 * f["n_words"]) | (f["word_chars"] < 3 * f["n_words"]), lambda f: (f["word_chars"] >= 4.2 * f["n_words"]) & (f["word_chars"] <= 6.5 * f["n_words"])),
+    "word_length": (lambda f: latin(f) & ((f["word_chars"] > 7 * f["n_words"]) | (f["word_chars"] < 3 * f["n_words"])), lambda f: latin(f) & (f["word_chars"] >= 4.2 * f["n_words"]) & (f["word_chars"] <= 6.5 * f["n_words"])),
     "capitals": (lambda f: f["n_upper"] > 0.5 * f["n_letters"], lambda f: f["n_upper"] <= 0.1 * f["n_letters"]),
     "variety": (lambda f: (f["n_words"] >= 100) & (f["n_distinct"] < 0.25 * f["n_words"]), lambda f: f["n_distinct"] >= 0.4 * f["n_words"]),
-    "common_words": (lambda f: f["n_common"] < 0.02 * f["n_words"], lambda f: f["n_common"] >= 0.1 * f["n_words"]),
+    "common_words": (lambda f: latin(f) & (f["n_common"] < 0.02 * f["n_words"]), lambda f: f["n_common"] >= 0.1 * f["n_words"]),
     "letters": (lambda f: f["n_letters"] < 0.75 * f["word_chars"], lambda f: f["n_letters"] >= 0.9 * f["word_chars"]),
     "shouting": (lambda f: f["n_bangs"] > 0.2 * f["n_words"], lambda f: f["n_bangs"] <= 0.05 * f["n_words"]),
     "length": (lambda f: f["n_words"] < LEAST_WORDS, lambda f: f["n_words"] >= 2 * LEAST_WORDS),
 }
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_common", "n_bangs"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_common", "n_bangs", "n_other"]
 
 
 def features(data: bytes) -> tuple[int, ...]:
@@ -75,8 +79,9 @@ def features(data: bytes) -> tuple[int, ...]:
     upper = int(((cp >= 65) & (cp <= 90) | (cp >= 0xC0) & (cp <= 0xDE) & (cp != 0xD7)).sum())
     folded = cp | np.uint32(32)
     letters = int(((folded >= 97) & (folded <= 122) & (cp < 128) | (cp >= 0xAA)).sum())
+    other = int((cp >= 0x250).sum())
     symbols = sum(data.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
-    return n, len(joined), symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, len(distinct), common, data.count(b"!")
+    return n, len(joined), symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, len(distinct), common, data.count(b"!"), other
 
 
 def votes(frame: dict[str, np.ndarray]) -> np.ndarray:
@@ -123,14 +128,14 @@ def measured_votes(docs: DataFrame) -> DataFrame:
     """doc_id, the features and the votes of each row, as a table."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([features(bytes(t)) for t in b["text"]], np.int64).reshape(len(b), len(FEATURES))
+            got = np.array([features(t.as_py()) for t in b.column("text")], np.int64).reshape(b.num_rows, len(FEATURES))
             frame = {c: got[:, i] for i, c in enumerate(FEATURES)}
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **frame, "votes": ["".join(map(str, v)) for v in votes(frame).tolist()]})
+            yield batch_of(doc_id=b.column("doc_id"), **frame, votes=pa.array(["".join(map(str, v)) for v in votes(frame).tolist()], pa.string()))
 
     schema = "doc_id long, " + "".join(f"{c} long, " for c in FEATURES) + "votes string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def model(voted: DataFrame) -> tuple[float, np.ndarray]:
@@ -160,7 +165,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps."""
-    prior, weights = model(materialize(measured_votes(docs).select("votes"), "votes"))
+    voted = materialize(measured_votes(docs).select("votes"), "votes")
+    prior, weights = model(voted)
+    discard(voted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,10 +177,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
             v = votes(frame)
             odds = prior + weights[np.arange(len(RULES)), v].sum(1)
             keep = ~base_failed(frame["n_words"], frame["n_repeat_words"]) & (1 / (1 + np.exp(-np.clip(odds, -50, 50))) >= KEEP)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(keep))
 
-    own = "text bytes of judge"
-    return docs.withColumn(own, text_bytes()).mapInArrow(run, docs.schema)
+    # By place, as names may hold dots or clash with ours.
+    names = docs.columns
+    return docs.select("*", text_bytes().alias("text bytes")).toDF(*(f"c{i}" for i in range(len(names) + 1))).mapInArrow(run, docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -19,4 +19,6 @@ ORACLE_SQL = {
     "op4_line_dedup": linededup.OP4_SQL,
     "op6_minhash_near_dedup": minhash.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_sharding": sharding.OP9_SQL,
+    "op10_chat_formatting": chat.OP10_SQL,
 }

@@ -2,42 +2,52 @@
 
 The pre-tokenizer's pattern is applied with array operations over code points;
 its pieces are told apart by a 64-bit hash, and only pieces not met before go
-through the merges. Ids equal those of the tokenizers library on the same file
-(with add_special_tokens=False, and control strings in a text as ordinary text).
+through the merges. The file's control strings inside a text have ids of their own.
+Ids equal those of the tokenizers library on the same file, with its settings as
+they come and add_special_tokens=False.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
 
+from skipscan.llm.common import mixed
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to id, from a tokenizers JSON file whose merges stand in the order of their ids."""
+def load_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(token bytes to id, control strings to id), from a tokenizers JSON file whose merges stand in the order of their ids."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        told = json.load(f)
+    model, added = told["model"], told["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        raise ValueError(f"{path}: control strings that depend on what is around them")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     stands = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(plain))}
     ranks = {bytes(stands[c] for c in t): i for t, i in model["vocab"].items() if all(c in stands for c in t)}
     made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if made != sorted(made):
         raise ValueError(f"{path}: merges are not in the order of ids")
-    return ranks
+    return ranks, {x["content"]: x["id"] for x in added}
 
 
 class Encoder:
     """Not for sharing between processes; its memory is bounded by MOST pieces."""
 
-    MOST = 1_000_000
+    MOST = 250_000
+    #: Code points that are looked at together, unless one text has more.
+    STRETCH = 1 << 19
 
     def __init__(self, path: str):
         import tiktoken
 
-        ranks = load_ranks(path)
+        ranks, self.control = load_ranks(path)
+        self.controls = re.compile("(" + "|".join(map(re.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
         merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.merge = merge._encode_single_piece
         self.kinds = np.full(0x110000, 255, np.uint8)
@@ -96,6 +106,32 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text)."""
+        ids, counts, part, size = [], [], [], 0
+        for t in texts:
+            if self.controls and self.controls.search(t):
+                pieces = self.controls.split(t)
+                plain = self._plain(pieces[::2])
+                at, own = np.concatenate(([0], np.cumsum(plain[1]))), []
+                for i in range(len(plain[1])):
+                    own += plain[0][at[i] : at[i + 1]], [self.control[x] for x in pieces[2 * i + 1 : 2 * i + 2]]
+                whole = np.concatenate(own).astype(np.uint32)
+                done = self._plain(part)
+                ids += done[0], whole
+                counts += done[1], np.array([len(whole)], np.int64)
+                part, size = [], 0
+                continue
+            part.append(t)
+            size += len(t)
+            if size >= self.STRETCH:
+                done = self._plain(part)
+                ids.append(done[0])
+                counts.append(done[1])
+                part, size = [], 0
+        done = self._plain(part)
+        return np.concatenate([*ids, done[0]]), np.concatenate([*counts, done[1]])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts without control strings, all at once."""
         sizes = np.array([len(t) for t in texts], np.int64)
         whole = "".join(texts)
         cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -123,8 +159,6 @@ class Encoder:
         return ids, np.diff(upto[piece])
 
     def _hashes(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        from skipscan.llm.common import mixed
-
         with np.errstate(over="ignore"):
             if len(self.up) <= len(cp):
                 for name, b in zip(("up", "down"), self.base, strict=True):
