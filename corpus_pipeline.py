@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skipscan.llm import decontaminate, linededup, minhash, packing, quality
-from skipscan.llm.common import BROADCAST_IDS, materialize, measured, table
+from skipscan.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but for each one's first; n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = linededup.dedup_lines(docs, count=None)
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the least doc_id."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    gone, (n, _) = measured(found.where("NOT kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.keep_first(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the sequences."""
-    return packing.packed(docs, packing.vocabulary_path())
+    return packing.packed(docs, packing.vocabulary_path)
 
 
 STAGES = [
@@ -56,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
