@@ -43,20 +43,27 @@ def templates(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """d, th, pos and keys (h, g) of the templates of each line that has some; th tells texts of one doc_id apart."""
+    """d, th, pos and keys (h, g) of the templates of each line; th tells texts of one doc_id apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), templates(F.col("text")).alias("lines"))
     # The outer form: from the inner one the planner infers filters that make the templates anew, twice. A null text has no words, so it goes below.
     rows = texts.select("d", "th", F.posexplode_outer("lines").alias("pos", "line")).select("d", "th", "pos", F.trim("line").alias("t"))
-    rows = rows.select("*", F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1).alias("n")).where(F.col("n") >= LEAST_WORDS)
-    long = F.col("n") >= PARTED
-    upto = lambda count: F.call_function("substring_index", F.col("t"), F.lit(" "), count)
+    # Sizes in bytes, which need no walk over the text.
+    spaces = F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" ")))
+    rows = rows.select("*", F.when(F.col("t") == "", 0).otherwise(spaces + 1).alias("n")).where(F.col("n") >= LEAST_WORDS)
+    long, masked = F.col("n") >= PARTED, F.contains("t", F.lit("<*>"))
+    cut = lambda c, count: F.call_function("substring_index", F.col(c), F.lit(" "), count)
     edge = lambda i: F.floor(F.col("n") * i / PARTS).cast("int")
-    rows = rows.select("d", "th", "pos", "t", "n", upto(F.lit(DEPTH)).alias("path"), *(F.when(long, upto(edge(i))).alias(f"s{i}") for i in range(1, PARTS)))
-    starts = [F.lit(""), *(F.col(f"s{i}") for i in range(1, PARTS)), F.col("t")]
-    fields = lambda c: F.floor((F.length(c) - F.length(F.replace(c, F.lit("<*>")))) / 3)
-    part = lambda i: F.when(long, F.substring(starts[i + 1], F.length(starts[i]) + 1, F.length(starts[i + 1])))
-    rows = rows.select("d", "th", "pos", "n", "path", "t", *(part(i).alias(f"p{i}") for i in range(PARTS)))
-    rows = rows.select("d", "th", "pos", "n", "path", F.xxhash64("t").alias("x"), F.xxhash64("t", F.lit(1)).alias("y"), fields(F.col("t")).alias("f"), *(F.xxhash64(f"p{i}").alias(f"x{i}") for i in range(PARTS)), *(F.xxhash64(f"p{i}", F.lit(1)).alias(f"y{i}") for i in range(PARTS)), *(fields(F.col(f"p{i}")).alias(f"f{i}") for i in range(PARTS)))
+    # s1 to s3: the words up to each edge; p0 to p3: the parts.
+    rows = rows.select("*", masked.alias("masked"), cut("t", F.lit(DEPTH)).alias("path"), F.when(long, cut("t", edge(PARTS - 1))).alias(f"s{PARTS - 1}"))
+    for i in range(PARTS - 2, 0, -1):
+        rows = rows.select("*", cut(f"s{i + 1}", edge(i)).alias(f"s{i}"))
+    whole = lambda i: "t" if i == PARTS else f"s{i}"
+    part = lambda i: F.col("s1") if i == 0 else F.when(long, cut(whole(i + 1), edge(i) - edge(i + 1)))
+    rows = rows.select("d", "th", "pos", "n", "path", "t", "masked", *(part(i).alias(f"p{i}") for i in range(PARTS)))
+    fields = lambda c: F.when(F.col("masked"), F.floor((F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit("<*>")))) / 3)).otherwise(0)
+    hashes = lambda c, seed: F.xxhash64(c, *([F.lit(1)] if seed else []))
+    parts = [f"p{i}" for i in range(PARTS)]
+    rows = rows.select("d", "th", "pos", "n", "path", *(F.when(~long, hashes("t", k)).alias(c) for k, c in enumerate("xy")), F.when(~long, fields("t")).alias("f"), *(hashes(c, k).alias(f"{x}{c[1:]}") for c in parts for k, x in enumerate("xy")), *(fields(c).alias(f"f{c[1:]}") for c in parts))
 
     def key(left_out: int) -> Column:
         others = [i for i in range(PARTS) if i != left_out]
@@ -66,7 +73,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
     whole = F.when(2 * (F.col("n") - F.col("f")) >= F.col("n"), F.struct(F.xxhash64(F.lit(-1), "n", "path", "x").alias("h"), F.xxhash64("y", F.lit(-1), "path", "n").alias("g")))
     keys = F.when(long, F.array(*(key(i) for i in range(PARTS)))).otherwise(F.array(whole))
-    return rows.select("d", "th", "pos", F.array_compact(keys).alias("keys")).where("size(keys) > 0")
+    # No filter here: the planner would push it down and make all of the above twice.
+    return rows.select("d", "th", "pos", F.array_compact(keys).alias("keys"))
 
 
 def recurring(keyed: DataFrame, least_docs: int) -> DataFrame:
