@@ -44,6 +44,8 @@ MISS = 1e-5
 SIGNED = 128
 #: Classes, and window hashes of their sets, in one block.
 BLOCK_ROWS, BLOCK_HASHES = 1000, 1_000_000
+#: Rows of block pairs in a bin, on average, and pairs that are looked at together.
+BIN_ROWS, PAIRS = 1000, 100_000
 #: Most classes whose ids, sizes and fingerprints are broadcast (32 bytes each).
 BROADCAST_CLASSES = 250_000
 #: Standard deviations by which an estimate may fall below the threshold.
@@ -109,33 +111,6 @@ def with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many items each set of left has in common with each of right, by
-    products of 0/1 matrices over stretches of the items that both sides have."""
-    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    out = np.zeros((len(left), len(right)), np.float32)
-
-    def where(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows, items = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-        at = np.searchsorted(common, items)
-        at[at == len(common)] = 0
-        hit = common[at] == items if len(common) else np.zeros(len(items), bool)
-        order = np.argsort(at[hit], kind="stable")
-        return rows[hit][order], at[hit][order]
-
-    (r1, c1), (r2, c2) = where(left), where(right)
-    step = 2048
-    for c in range(0, len(common), step):
-        pair = []
-        for rows, columns, n in ((r1, c1, len(left)), (r2, c2, len(right))):
-            a, b = np.searchsorted(columns, (c, c + step))
-            m = np.zeros((n, step), np.float32)
-            m[rows[a:b], columns[a:b] - c] = 1
-            pair.append(m)
-        out += pair[0] @ pair[1].T
-    return out
-
-
 def blocks_of(rows: str, hashes: str):
     """How many blocks so many classes with so many window hashes make."""
     return F.greatest(F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(hashes) / BLOCK_HASHES)), F.lit(1)).cast("int")
@@ -163,29 +138,48 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(hubs).join(sets, "node").groupBy("hub", "block").applyInPandas(compare, "u long, v long")
 
 
-def candidates(rows: pd.DataFrame, percent: int, agree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a block pair's classes on both sides, and which pairs may link: across labels, by
-    sizes and signatures, and only in the first bucket that both share."""
-    block, i, j = rows["block"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
-    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    n, label = rows["n"].to_numpy(), rows["label"].to_numpy()
-    able = label[one, None] != label[two]
-    lo, hi = np.minimum(n[one, None], n[two]), np.maximum(n[one, None], n[two])
-    able &= 100 * lo >= percent * hi
-    if i == j:
-        able &= one[:, None] < two
-    bands = np.stack(rows["bands"].to_numpy())
-    for c in range(int(np.flatnonzero(bands[0] == rows["key"].iloc[0])[0])):
-        able &= bands[one, c][:, None] != bands[two, c]
-    x, y = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
-    one, two, able = one[x], two[y], able[np.ix_(x, y)]
-    if len(one):
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in rows["sig"]])
-        same = np.zeros(able.shape, np.int16)
-        for c in range(sig.shape[1]):
-            same += sig[one, c][:, None] == sig[two, c]
-        able &= same >= agree
-    return one, two, able
+def pairs_of(group: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs to compare, about PAIRS at a time, in rows that stand in order of their groups
+    (key, i, j): of block i with block j, or within one block."""
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    left, right, held = [], [], 0
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        one, two = a + np.flatnonzero(block[a:b] == i[a]), a + np.flatnonzero(block[a:b] == j[a])
+        step = max(1, PAIRS // max(1, len(two)))
+        for c in range(0, len(one), step):
+            x, y = np.repeat(one[c : c + step], len(two)), np.tile(two, len(one[c : c + step]))
+            if i[a] == j[a]:
+                x, y = x[x < y], y[x < y]
+            left.append(x)
+            right.append(y)
+            held += len(x)
+            if held >= PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def candidates(rows: pa.Table, percent: int, agree: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows in order of their groups, places of the pairs that may link): across labels, by sizes
+    and signatures, and only in the first bucket that both share."""
+    rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")]).combine_chunks()
+    column = lambda c: rows.column(c).to_numpy()
+    n, label, key, i, j = map(column, ("n", "label", "key", "i", "j"))
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
+    place = (bands == key[:, None]).argmax(1)
+    _, ids = np.unique(np.stack([key, i.astype(np.int64), j.astype(np.int64)]), axis=1, return_inverse=True)
+    out = []
+    for x, y in pairs_of(ids.ravel(), column("block"), i, j):
+        able = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[able], y[able]
+        able = (bands[x] == bands[y]).argmax(1) == place[x]
+        x, y = x[able], y[able]
+        able = (sig[x] == sig[y]).sum(1) >= agree
+        out.append((x[able], y[able]))
+    none = np.zeros(0, np.int64)
+    return rows, np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)])
 
 
 def open_links(met: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, agree: int) -> DataFrame:
@@ -200,39 +194,43 @@ def open_links(met: DataFrame, classes: DataFrame, sets: DataFrame, labels: Data
     rows = rows.join(buckets, "key").withColumn("block", F.when(F.col("label") == F.col("most"), F.col("few") + mine).otherwise(mine))
     last = F.when(F.col("label") == F.col("most"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     dealt = rows.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("to"))
-    dealt = materialize(dealt.select("key", "node", "label", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j")), "dealt")
+    dealt, (many, _) = measured(dealt.select("key", "node", "label", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j")), "dealt")
     names = ["key", "i", "j", "node", "label", "block"]
 
-    def look(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two, able = candidates(rows, percent, agree)
-        return rows[names].iloc[np.union1d(one[able.any(1)], two[able.any(0)])] if len(one) else rows[names].iloc[:0]
+    def look(rows: pa.Table) -> pa.Table:
+        rows, x, y = candidates(rows, percent, agree)
+        return rows.select(names).take(pa.array(np.union1d(x, y)))
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two, able = candidates(rows, percent, agree)
-        out: list[tuple[int, int]] = []
-        if len(one):
-            sets, ids, n = [np.frombuffer(x, np.uint64) for x in rows["items"]], rows["node"].to_numpy(), rows["n"].to_numpy()
-            parent = list(range(len(ids)))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            both = shared([sets[k] for k in one], [sets[k] for k in two])
-            linked = able & (100 * both >= percent * (n[one, None] + n[two] - both))
-            for u, v in zip(*np.nonzero(linked), strict=True):
-                a, b = root(int(one[u])), root(int(two[v]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((ids[one[u]], ids[two[v]]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def link(rows: pa.Table) -> pa.Table:
+        rows, x, y = candidates(rows, percent, agree)
+        items, node = rows.column("items").combine_chunks(), rows.column("node").to_numpy()
+        parent = list(range(len(node)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
 
+        out: list[tuple[int, int]] = []
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = root(u), root(v)
+            if a == b:
+                continue
+            one, two = (np.frombuffer(items[k].as_buffer(), np.uint64) for k in (u, v))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * both >= percent * (len(one) + len(two) - both):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(node[u]), int(node[v])))
+        left, right = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
+
+    # Small groups are dealt to bins, so that a call has many of them; none is split.
+    binned = lambda d, rows: d.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, rows // BIN_ROWS))))
     wide = dealt.join(classes.select("node", "n", "bands", "sig"), "node")
-    kept = materialize(wide.groupBy("key", "i", "j").applyInPandas(look, "key long, i int, j int, node long, label long, block int"), "kept")
+    kept, (found, _) = measured(binned(wide, many).groupBy("bin").applyInArrow(look, "key long, i int, j int, node long, label long, block int"), "kept")
     wide = kept.join(classes.select("node", "n", "bands", "sig"), "node").join(sets.select("node", "items"), "node")
-    out = materialize(wide.groupBy("key", "i", "j").applyInPandas(link, "u long, v long"), "links")
+    out = materialize(binned(wide, found).groupBy("bin").applyInArrow(link, "u long, v long"), "links")
     discard(dealt, kept)
     return out
 
