@@ -2,11 +2,15 @@
 
 Leaves are written first and the one JSON document that points to them last. A
 file keeps its ordinal for as long as the index lives; files that go are marked
-dead in place, and a compaction renumbers and rewrites every posting at once."""
+dead in place, and a compaction renumbers and rewrites every posting at once.
+
+The document is numbered: a build publishes the number after the one it began from,
+so where two builds run in spite of the lease, the second to end is refused."""
 
 from __future__ import annotations
 
 import time
+import urllib.parse
 import uuid
 from dataclasses import dataclass, field
 
@@ -16,9 +20,13 @@ from pyspark.sql import functions as F
 from skipscan.functions import kinds, text
 from skipscan.operators import dictionary as D
 from skipscan.sources import store
-from skipscan.sources.table import Table, within_bounds
+from skipscan.sources.table import Table, file_key, within_bounds
 
 DEAD_FILES, DEAD_SHARE = 16, 0.25
+#: Leaves of grams or blooms that may stand beside each other before they are merged.
+LEAVES = 8
+#: Most live files whose renumbering is broadcast.
+BROADCAST_FILES = 1_000_000
 LEASE_MS = 12 * 3600 * 1000
 
 
@@ -36,6 +44,10 @@ class Settings:
     terms: bool = True
     fpp: float = 0.01
     scope: object = None  # a predicate on the table's bounded columns
+    dead_files: int = DEAD_FILES
+    dead_share: float = DEAD_SHARE
+    pass_bytes: int | None = None  # most bytes of new files in a pass; one file is always taken
+    more: tuple[str, ...] = ()  # tiers of other makers, by name
     extra: dict = field(default_factory=dict)
 
     def contract(self) -> str:
@@ -57,6 +69,22 @@ def resolved(column: dict, table: dict, deployment: dict) -> Settings:
     return Settings(**merged)
 
 
+@dataclass(frozen=True)
+class Tier:
+    """A tier of another maker: build(rows (ordinal, v), type) gives a DataFrame with the column ordinal,
+    one or more rows a file; probe(leaf, predicate) gives the ordinals that may match, or None if it cannot say."""
+
+    build: object
+    probe: object
+
+
+TIERS: dict[str, Tier] = {}
+
+
+def register_tier(name: str, build, probe) -> None:
+    TIERS[name] = Tier(build, probe)
+
+
 class Index:
     """The index of one column."""
 
@@ -65,7 +93,7 @@ class Index:
         self.root = f"{table.path}/index/{table.field_id(column)}" + ("-" + column.replace(".", "-") if "." in column else "")
 
     def meta(self) -> dict | None:
-        return store.read_json(self.spark, f"{self.root}/meta.json")
+        return store.read_latest(self.spark, f"{self.root}/meta")[1]
 
     def _lease(self, owner: str, now_ms: int) -> None:
         path = f"{self.root}/lease.json"
@@ -77,7 +105,9 @@ class Index:
             held = {}
         if held.get("expires_ms", 0) > now_ms and held.get("owner") != owner:
             raise BuildRefused(f"{held['owner']} is building")
-        store.write_json(self.spark, path, {"owner": owner, "expires_ms": now_ms + LEASE_MS})
+        store.delete(self.spark, path)
+        if not store.create_only(self.spark, path, {"owner": owner, "expires_ms": now_ms + LEASE_MS}):
+            raise BuildRefused("another build has just begun")
 
     def build(self, settings: Settings | None = None, per_pass: int | None = None, owner: str | None = None) -> list[dict]:
         """Brings the index up to the current snapshot; the reports of its passes."""
@@ -90,14 +120,17 @@ class Index:
                 reports.append(self._pass(settings, per_pass))
             return reports
         finally:
-            store.delete(self.spark, f"{self.root}/lease.json")
+            if (store.read_json(self.spark, f"{self.root}/lease.json") or {}).get("owner") == owner:
+                store.delete(self.spark, f"{self.root}/lease.json")
 
     def _pass(self, settings: Settings, per_pass: int | None) -> dict:
-        table, old = self.table, self.meta()
-        snaps = table.snapshots()
-        files = [f for f in table.files() if within_bounds(f, settings.scope, table.schema)]
+        table = self.table
+        number, old = store.read_latest(self.spark, f"{self.root}/meta")
+        now = table.current()
+        files = [f for f in (table.files(now.id) if now else []) if within_bounds(f, settings.scope, table.schema)]
         current = {f["path"] for f in files}
-        full = not old or old["contract"] != settings.contract() or old["tiers"] != [settings.bloom, settings.grams, settings.terms]
+        tiers = [settings.bloom, settings.grams, settings.terms, *settings.more]
+        full = not old or old["contract"] != settings.contract() or old["tiers"] != tiers or not self._readable(old)
         coverage = [] if full else [dict(c) for c in old["coverage"]]
         departed = [c["path"] for c in coverage if c["live"] and c["path"] not in current]
         revived = [c["path"] for c in coverage if not c["live"] and c["path"] in current]
@@ -106,13 +139,20 @@ class Index:
         known = {c["path"] for c in coverage}
         new = [p for p in sorted(current) if p not in known]
         dead = sum(not c["live"] for c in coverage)
-        compacting = dead >= DEAD_FILES and dead >= DEAD_SHARE * len(coverage)
+        compacting = dead >= max(1, settings.dead_files) and dead >= settings.dead_share * len(coverage)
         part = new[:per_pass] if per_pass else new
+        if settings.pass_bytes:
+            size, upto = {f["path"]: f["bytes"] for f in files}, 0
+            for i, p in enumerate(part):
+                upto += size[p]
+                if i and upto > settings.pass_bytes:
+                    part = part[:i]
+                    break
         next_ordinal = max((c["ordinal"] for c in coverage), default=-1) + 1
         added = [{"path": p, "ordinal": next_ordinal + i, "live": True} for i, p in enumerate(part)]
         report = {
             "build_id": uuid.uuid4().hex, "previous_build_id": old["build_id"] if old else None, "kind": "full" if full else "compacting" if compacting else "incremental" if part else "restamp",
-            "added": part, "departed": departed, "revived": revived, "partial": len(part) < len(new), "warnings": [], "snapshot": snaps[-1].id if snaps else None,
+            "added": part, "departed": departed, "revived": revived, "partial": len(part) < len(new), "warnings": [], "snapshot": now.id if now else None,
         }
         remap = None
         if compacting:
@@ -125,29 +165,40 @@ class Index:
         exact = (full or old["counts_exact"]) and not departed and not revived
         meta = {
             "build_id": report["build_id"], "contract": settings.contract(), "analyzer": settings.analyzer, "cap": settings.cap, "ngram": settings.ngram, "fpp": settings.fpp,
-            "tiers": [settings.bloom, settings.grams, settings.terms], "coverage": coverage, "leaves": leaves, "partial": report["partial"], "counts_exact": exact,
-            "snapshot": report["snapshot"], "delete_files": snaps[-1].delete_files if snaps else 0, "built_ms": int(time.time() * 1000),
+            "tiers": tiers, "coverage": coverage, "leaves": leaves, "partial": report["partial"], "counts_exact": exact,
+            "snapshot": report["snapshot"], "delete_files": now.delete_files if now else 0, "built_ms": int(time.time() * 1000),
         }
-        store.write_json(self.spark, f"{self.root}/reports/{report['build_id']}.json", report)
-        store.write_json(self.spark, f"{self.root}/meta.json", meta)
+        if not store.put_next(self.spark, f"{self.root}/meta", number, meta):
+            raise BuildRefused("another build was published first")
+        store.create_only(self.spark, f"{self.root}/reports/{number + 1:012d}-{report['build_id']}.json", report)
         return report
 
+    def _readable(self, meta: dict) -> bool:
+        """Whether all leaves are still there; where one is not, the index is built anew."""
+        leaves = meta["leaves"]
+        paths = [*leaves["ranges"].values(), *leaves["grams"], *leaves["bloom"], *(p for own in leaves["more"].values() for p in own)]
+        return all(store.exists(self.spark, p) for p in dict.fromkeys(paths))
+
+    def reports(self) -> list[dict]:
+        """The reports of all builds, oldest first."""
+        return [store.read_json(self.spark, f"{self.root}/reports/{n}") for n in store._names(self.spark, f"{self.root}/reports", ".json")]
+
     def _write(self, s: Settings, old: dict | None, added: list[dict], remap: dict | None, report: dict) -> dict:
         spark, at = self.spark, f"{self.root}/leaves/{report['build_id']}"
-        leaves = dict(old["leaves"]) if old else {"ranges": {}, "grams": None, "bloom": []}
+        leaves = dict(old["leaves"]) if old else {"ranges": {}, "grams": [], "bloom": [], "more": {}}
         if not added and remap is None:
             return leaves
         t = kinds.field_type(self.table.schema, self.column)
         rows = None
         if added:
-            # Files are told apart by the name Spark reports for them; the pairs are as many as the new files.
-            names = spark.createDataFrame([(c["path"].rsplit("/", 1)[-1], c["ordinal"]) for c in added], "name string, ordinal int")
+            # Files are told apart by their whole path; the pairs are as many as the new files.
+            names = spark.createDataFrame([(urllib.parse.unquote(store.same_path(c["path"])), c["ordinal"]) for c in added], "name string, ordinal int")
             df = spark.read.schema(self.table.schema).parquet(*[c["path"] for c in added])
-            rows = df.select(F.col(self.column).alias("v"), F.col("_metadata.file_name").alias("name")).join(F.broadcast(names), "name").select("ordinal", "v")
+            told = df.select(F.col(self.column).alias("v"), F.url_decode(F.replace(file_key(), F.lit("+"), F.lit("%2B"))).alias("name"))
+            rows = told.join(F.broadcast(names) if len(added) <= BROADCAST_FILES else names, "name").select("ordinal", "v")
         moved = None
         if remap is not None:
-            moved = F.create_map(*[F.lit(x) for kv in remap.items() for x in kv])
-        move = (lambda c: F.sort_array(F.filter(F.transform(c, lambda o: moved[o]), lambda o: o.isNotNull()))) if moved is not None else (lambda c: c)
+            moved = spark.createDataFrame(list(remap.items()), "old int, new int")
         if s.terms:
             new = None
             if rows is not None:
@@ -157,13 +208,13 @@ class Index:
             before = [leaves["ranges"][str(r)] for r in sorted(touched) if str(r) in leaves["ranges"]]
             parts = [] if new is None else [new.drop("range")]
             if before:
-                kept = spark.read.parquet(*before).select("term", "file_count", "total_count", move(F.col("ordinals")).alias("ordinals")).where("size(ordinals) > 0")
-                parts.append(kept)
+                kept = spark.read.parquet(*before).select("term", "file_count", "total_count", "ordinals", "counts")
+                parts.append(kept if moved is None else D.renumbered(kept, "term", moved))
             out = parts[0] if len(parts) == 1 else D.merged(*parts) if parts else None
             if out is not None:
-                out = out.withColumn("file_count", F.size("ordinals").cast("long")).withColumn("range", D.range_of(F.col("term")))
+                out = out.withColumn("range", D.range_of(F.col("term")))
                 out.repartitionByRange("range", "term").sortWithinPartitions("range", "term").write.option("compression", "zstd").partitionBy("range").parquet(f"{at}/terms")
-                have = {r[0] for r in spark.read.parquet(f"{at}/terms").select("range").distinct().collect()}
+                have = {r[0] for r in spark.read.parquet(f"{at}/terms").select("range").distinct().collect()} if store.listed(spark, f"{at}/terms") else set()
                 leaves["ranges"] = {k: v for k, v in leaves["ranges"].items() if int(k) not in touched} | {str(r): f"{at}/terms/range={r}" for r in have}
         pairs = None
         if rows is not None and (s.grams or s.bloom):
@@ -171,25 +222,38 @@ class Index:
             full = D.gram_saturation(pairs, "ordinal", s.ngram).where("saturated").count()
             if full:
                 report["warnings"].append(f"{full} files hold about all grams of their alphabet")
-        if s.grams:
+        if s.grams and (pairs is not None or remap is not None):
+            # New files get a leaf of their own; leaves are merged when there are many, or when files are renumbered.
             parts = [] if pairs is None else [D.gram_dictionary(pairs, "ordinal")]
-            if leaves["grams"]:
-                parts.append(spark.read.parquet(leaves["grams"]).select("gram", move(F.col("ordinals")).alias("ordinals")))
-            both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("gram").agg(F.sort_array(F.flatten(F.collect_list("ordinals"))).alias("ordinals"))
-            both.where("size(ordinals) > 0").repartitionByRange("gram").sortWithinPartitions("gram").write.option("compression", "zstd").parquet(f"{at}/grams")
-            leaves["grams"] = f"{at}/grams"
+            if leaves["grams"] and (moved is not None or len(leaves["grams"]) >= LEAVES):
+                prior = spark.read.parquet(*leaves["grams"])
+                parts.append(prior if moved is None else D.renumbered(prior, "gram", moved))
+                leaves["grams"] = []
+            if parts:
+                both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+                both = both.groupBy("gram").agg(F.sort_array(F.flatten(F.collect_list("ordinals"))).alias("ordinals"))
+                both.repartitionByRange("gram").sortWithinPartitions("gram").write.option("compression", "zstd").parquet(f"{at}/grams")
+                leaves["grams"] = [*leaves["grams"], f"{at}/grams"]
         if s.bloom and (pairs is not None or remap is not None):
             new = [] if pairs is None else [D.bloom_words(pairs, "ordinal", s.fpp)]
-            if leaves["bloom"] and (remap is not None or len(leaves["bloom"]) >= 8):
-                prior = spark.read.parquet(*leaves["bloom"])
-                new.append(prior if moved is None else prior.withColumn("ordinal", moved[F.col("ordinal")]).where("ordinal IS NOT NULL"))
-                leaves["bloom"] = []
-            if new:
-                out = new[0] if len(new) == 1 else new[0].unionByName(new[1])
-                out.write.option("compression", "zstd").parquet(f"{at}/bloom")
-                leaves["bloom"] = [*leaves["bloom"], f"{at}/bloom"]
+            leaves["bloom"] = self._leaf(leaves["bloom"], new, moved, f"{at}/bloom")
+        for name in s.more:
+            new = [] if rows is None else [TIERS[name].build(rows, t)]
+            leaves["more"] = leaves["more"] | {name: self._leaf(leaves["more"].get(name, []), new, moved, f"{at}/{name}")}
         return leaves
 
+    def _leaf(self, have: list[str], new: list[DataFrame], moved: DataFrame | None, path: str) -> list[str]:
+        """The leaves of a tier with rows by ordinal, after new ones; many are merged, and renumbered ones rewritten."""
+        if have and (moved is not None or len(have) >= LEAVES):
+            prior = self.spark.read.parquet(*have)
+            if moved is not None:
+                prior = prior.join(F.broadcast(moved), F.col("ordinal") == F.col("old")).drop("ordinal", "old").withColumnRenamed("new", "ordinal")
+            new, have = [*new, prior], []
+        if not new:
+            return have
+        (new[0] if len(new) == 1 else new[0].unionByName(new[1])).write.option("compression", "zstd").parquet(path)
+        return [*have, path]
+
     def _stored(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -202,7 +266,7 @@ class Index:
         """How far the index is behind its table."""
         meta, snaps = self.meta(), self.table.snapshots()
         if not meta or not snaps:
-            return {"indexed": False, "behind_ms": None, "dead_share": 0.0}
+            return {"indexed": False, "behind_ms": None, "behind_snapshots": len(snaps), "dead_share": 0.0}
         late = [s.ts_ms for s in snaps if meta["snapshot"] is None or s.id > meta["snapshot"]]
         dead = sum(not c["live"] for c in meta["coverage"])
-        return {"indexed": True, "behind_ms": int(time.time() * 1000) - late[0] if late else 0, "dead_share": dead / max(1, len(meta["coverage"])), "partial": meta["partial"], "counts_exact": meta["counts_exact"]}
+        return {"indexed": True, "behind_ms": int(time.time() * 1000) - late[0] if late else 0, "behind_snapshots": len(late), "dead_share": dead / max(1, len(meta["coverage"])), "partial": meta["partial"], "counts_exact": meta["counts_exact"]}

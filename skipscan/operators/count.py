@@ -20,8 +20,8 @@ def count(table: Table, column: str, term: str | None = None, prefix: str | None
     """Occurrences (rows, on a value index) and files of a term or of all terms with a prefix."""
     if (term is None) == (prefix is None):
         raise CountRefused("bad_request", "give a term or a prefix")
-    snaps = table.snapshots()
-    if not snaps:
+    now = table.current()
+    if not now:
         return {"count": 0, "files": 0}
     try:
         kinds.field_type(table.schema, column)
@@ -31,7 +31,7 @@ def count(table: Table, column: str, term: str | None = None, prefix: str | None
     meta = index.meta()
     if not meta or not meta["tiers"][2]:
         raise CountRefused("no_index", "no term index")
-    if snaps[-1].delete_files:
+    if now.delete_files:
         raise CountRefused("deletes", "rows may have been deleted")
     value = meta["analyzer"] == "value"
     if prefix is not None:
@@ -44,7 +44,7 @@ def count(table: Table, column: str, term: str | None = None, prefix: str | None
             raise CountRefused("terms", f"{len(asked)} terms, not one")
         if not text.indexable(asked[0], meta["cap"]):
             raise CountRefused("not_indexable", "such terms are not in the index")
-    if meta["snapshot"] != snaps[-1].id:
+    if meta["snapshot"] != now.id:
         raise CountRefused("stale", "the index is behind the table")
     if meta["partial"]:
         raise CountRefused("partial", "the index is being built")

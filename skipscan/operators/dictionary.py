@@ -31,15 +31,31 @@ def term_counts(df: DataFrame, where: str, terms: Column) -> DataFrame:
 
 
 def term_dictionary(counts: DataFrame, where: str) -> DataFrame:
-    """term, file_count, total_count, ordinals, from term_counts()."""
-    return counts.groupBy("term").agg(F.count_distinct(where).alias("file_count"), F.sum("occurrences").alias("total_count"), F.sort_array(F.collect_set(where)).alias("ordinals"))
+    """term, file_count, total_count, ordinals, counts (occurrences in each of them), from term_counts()."""
+    per = counts.groupBy("term").agg(F.sort_array(F.collect_list(F.struct(F.col(where).alias("o"), F.col("occurrences").alias("n")))).alias("p"))
+    return _posting(per)
+
+
+def _posting(per: DataFrame) -> DataFrame:
+    """term, file_count, total_count, ordinals and counts (of the same places) from sorted pairs p (o, n)."""
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return per.select("term", F.size("p").cast("long").alias("file_count"), total.alias("total_count"), F.transform("p", lambda x: x["o"]).alias("ordinals"), F.transform("p", lambda x: x["n"]).alias("counts"))
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two dictionaries over different files as one."""
-    both = old.select("term", "total_count", "ordinals").unionByName(new.select("term", "total_count", "ordinals"))
-    per = both.groupBy("term").agg(F.sum("total_count").alias("total_count"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ordinals")))).alias("ordinals"))
-    return per.select("term", F.size("ordinals").cast("long").alias("file_count"), "total_count", "ordinals")
+    pairs = lambda d: d.select("term", F.zip_with("ordinals", "counts", lambda o, n: F.struct(o.alias("o"), n.alias("n"))).alias("p"))
+    return _posting(pairs(old).unionByName(pairs(new)).groupBy("term").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p")))
+
+
+def renumbered(postings: DataFrame, key: str, remap: DataFrame) -> DataFrame:
+    """Postings (key, ordinals and, of terms, counts) under new ordinals; remap (old, new) holds the files that stay."""
+    counted = "counts" in postings.columns
+    each = F.zip_with("ordinals", "counts", lambda o, n: F.struct(o.alias("o"), n.alias("n"))) if counted else F.transform("ordinals", lambda o: F.struct(o.alias("o")))
+    rows = postings.select(key, F.explode(each).alias("x")).select(key, "x.*").join(F.broadcast(remap), F.col("o") == F.col("old")).drop("o", "old").withColumnRenamed("new", "o")
+    if counted:
+        return _posting(rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "n"))).alias("p")))
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list("o")).alias("ordinals"))
 
 
 def range_of(term: Column) -> Column:
@@ -54,7 +70,7 @@ def range_of(term: Column) -> Column:
 def file_grams(df: DataFrame, where: str, c: Column, t: T.DataType, n: int = text.NGRAM) -> DataFrame:
     """where, gram: the distinct grams of each file."""
     own = F.filter(kinds.members(c, t), lambda x: x.isNotNull())
-    return df.select(where, F.explode(F.flatten(F.transform(own, lambda x: text.grams(x, n)))).alias("gram")).distinct()
+    return df.select(where, F.explode(F.array_distinct(F.flatten(F.transform(own, lambda x: text.grams(x, n))))).alias("gram")).distinct()
 
 
 def gram_dictionary(pairs: DataFrame, where: str) -> DataFrame:

@@ -65,12 +65,24 @@ def _hint(op: str):
 contains, match, match_prefix = map(_hint, HINTS)
 
 
+def sql(text_of: str) -> Node:
+    """A condition as SQL, which is applied to rows and prunes nothing."""
+    return Node("sql", value=text_of)
+
+
+def pruning(by: Node, text_of: str) -> Node:
+    """A condition as SQL whose rows all meet `by`, which prunes for it."""
+    return Node("pruned", value=text_of, parts=(by,))
+
+
 def row_filter(p: Node) -> Column:
     c = F.col(p.column) if p.column else None
     if p.op in ("and", "or"):
         return reduce((lambda a, b: a & b) if p.op == "and" else (lambda a, b: a | b), map(row_filter, p.parts))
     if p.op == "not":
         return ~row_filter(p.parts[0])
+    if p.op in ("sql", "pruned"):
+        return F.expr(p.value)
     if p.op == "in":
         return c.isin(list(p.value))
     simple = {
@@ -87,17 +99,17 @@ def conjuncts(p: Node | None) -> list[Node]:
     """The leaves under AND alone; a hint anywhere else is refused."""
     if p is None:
         return []
-    if p.op == "and":
+    if p.op in ("and", "pruned"):
         return [x for part in p.parts for x in conjuncts(part)]
     if p.op in ("or", "not"):
         if any(_has_hint(x) for x in p.parts):
             raise BadPredicate("contains, match and match_prefix may stand under AND alone")
         return []
-    return [p]
+    return [] if p.op == "sql" else [p]
 
 
 def _has_hint(p: Node) -> bool:
-    return p.op in HINTS or any(map(_has_hint, p.parts))
+    return p.op in HINTS or p.op != "pruned" and any(map(_has_hint, p.parts))
 
 
 @dataclass

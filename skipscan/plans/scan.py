@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from skipscan.functions import kinds, text
 from skipscan.operators import dictionary as D
-from skipscan.operators.build import Index
+from skipscan.operators.build import TIERS, Index
 from skipscan.plans import predicate as P
-from skipscan.plans.verdicts import Partition
+from skipscan.plans.verdicts import ABSENT, HIT, UNKNOWN, Partition
 from skipscan.sources.table import Table, within_bounds
 
 PREFIX_TERMS = 100_000
@@ -32,6 +32,7 @@ class ScanReport:
     unknown: int = 0
     notes: list[str] = field(default_factory=list)
     ms: int = 0
+    verdicts: dict[str, str] = field(default_factory=dict)  # of each file of the snapshot
 
 
 class _Tiers:
@@ -86,8 +87,10 @@ class _Tiers:
         if not self.meta["leaves"]["grams"] or sets is None:
             return self.unknown()
         asked = sorted({g for s in sets for g in s})
-        leaf = self.spark.read.parquet(self.meta["leaves"]["grams"]).where(F.col("gram").isin(asked))
-        found = {r["gram"]: set(r["ordinals"]) for r in leaf.collect()}  # as many as the literal has grams
+        leaf = self.spark.read.parquet(*self.meta["leaves"]["grams"]).where(F.col("gram").isin(asked))
+        found: dict[str, set[int]] = {}
+        for r in leaf.collect():  # as many as the literal has grams, for each leaf
+            found.setdefault(r["gram"], set()).update(r["ordinals"])
         named: set[int] = set()
         for s in sets:
             named |= set.intersection(*(found.get(g, set()) for g in s))
@@ -99,7 +102,28 @@ class _Tiers:
         paths = sorted({routes[str(_range(t))] for t in asked if str(_range(t)) in routes})
         if not paths:
             return {}
-        return {r["term"]: set(r["ordinals"]) for r in self.spark.read.parquet(*paths).where(F.col("term").isin(asked)).select("term", "ordinals").collect()}
+        return {r["term"]: set(r["ordinals"]) for r in self._leaves(asked).select("term", "ordinals").collect()}
+
+    def _leaves(self, asked: list[str]) -> DataFrame:
+        routes = self.meta["leaves"]["ranges"]
+        paths = sorted({routes[str(_range(t))] for t in asked if str(_range(t)) in routes})
+        return self.spark.read.parquet(*paths).where(F.col("term").isin(asked))
+
+    def counts(self, asked: list[str]) -> dict[int, int]:
+        """How often the terms together stand in each file that has one."""
+        if not any(str(_range(t)) in self.meta["leaves"]["ranges"] for t in asked):
+            return {}
+        each = self._leaves(asked).select(F.explode(F.arrays_zip("ordinals", "counts")).alias("x"))
+        return {r[0]: r[1] for r in each.groupBy("x.ordinals").agg(F.sum("x.counts")).collect()}
+
+    def other(self, name: str, p: P.Node) -> Partition:
+        """A tier of another maker; like a bloom filter it only says what is certainly absent."""
+        leaf = self.meta["leaves"]["more"].get(name)
+        might = TIERS[name].probe(self.spark.read.parquet(*leaf), p) if leaf and name in TIERS else None
+        if might is None:
+            return self.unknown()
+        got = self.of(might)
+        return Partition(frozenset(), got.absent, got.hits | got.unknown)
 
     def span(self, where) -> set[int] | None:
         """Ordinals of all terms under a condition, unless they are too many."""
@@ -150,13 +174,15 @@ def _range(term: str) -> int:
 
 def plan(table: Table, p: P.Node | None = None, at: int | None = None) -> tuple[list[dict], ScanReport]:
     """The files that can match, and how they were chosen."""
-    began, snaps = time.time(), table.snapshots()
-    files = table.files(at)
-    report = ScanReport(at if at is not None else snaps[-1].id if snaps else None, total=len(files))
+    began, now = time.time(), table.current()
+    at = at if at is not None or now is None else now.id
+    files = table.files(at) if at is not None else []
+    report = ScanReport(at, total=len(files), verdicts={f["path"]: ABSENT for f in files})
     leaves, spans = P.conjuncts(p), P.ranges(p)
     files = [f for f in files if within_bounds(f, p, table.schema)]
     report.in_bounds = len(files)
     report.unknown = len(files)
+    report.verdicts |= {f["path"]: UNKNOWN for f in files}
     if not leaves or not files:
         return files, report
     tiers: dict[str, _Tiers | None] = {}
@@ -168,16 +194,25 @@ def plan(table: Table, p: P.Node | None = None, at: int | None = None) -> tuple[
         except (KeyError, kinds.NotIndexable) as e:
             tiers[column] = None
             report.notes.append(f"{column}: {e}")
-    for name in ("bloom", "grams", "terms"):
+    others = dict.fromkeys(name for t in tiers.values() if t for name in t.meta["leaves"]["more"])
+    certain: dict[P.Node, frozenset] = {}  # for each conjunct, the files that certainly have it
+    for name in ("bloom", *others, "grams", "terms"):
         verdict = Partition.all_unknown(f["path"] for f in files)
         for x in leaves:
-            verdict = verdict.both(_asked(tiers.get(x.column), files, report, lambda t, x=x: getattr(t, name)(x)))
+            got = _asked(tiers.get(x.column), files, report, lambda t, x=x: t.other(name, x) if name in others else getattr(t, name)(x))
+            certain[x] = certain.get(x, frozenset()) | got.hits
+            verdict = verdict.both(got)
         if name == "terms":
             for column, r in spans.items():
                 verdict = verdict.both(_asked(tiers.get(column), files, report, lambda t, r=r: t.term_range(r)))
+        for path in verdict.absent:
+            report.verdicts[path] = ABSENT
         files = [f for f in files if f["path"] in verdict.kept()]
         report.kept[name] = len(files)
-        report.unknown = sum(f["path"] in verdict.unknown for f in files)
+    # A hit is a file that every conjunct's tier names.
+    for f in files:
+        report.verdicts[f["path"]] = HIT if all(f["path"] in certain[x] for x in leaves) else UNKNOWN
+    report.unknown = sum(report.verdicts[f["path"]] == UNKNOWN for f in files)
     report.ms = int((time.time() - began) * 1000)
     LOG.info("table=%s snapshot=%s files_in=%d files_kept=%d ms=%d", table.path, report.snapshot, report.total, len(files), report.ms)
     return files, report
@@ -200,3 +235,10 @@ def scan(table: Table, p: P.Node | None = None, at: int | None = None) -> tuple[
     files, report = plan(table, p, at)
     df = table.frame(files)
     return (df.where(P.row_filter(p)) if p is not None else df), report
+
+
+def scan_sql(table: Table, where: str, at: int | None = None) -> tuple[DataFrame, ScanReport]:
+    """scan() of a condition in SQL text (plans.sqltext)."""
+    from skipscan.plans.sqltext import parse
+
+    return scan(table, parse(table.spark, where), at)

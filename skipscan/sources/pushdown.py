@@ -40,48 +40,77 @@ class Reader(DataSourceReader):
 
         p = predicate_of(filters)
         self.kept = [f["path"] for f in self.files if within_bounds(f, p, self.schema)]
-        self.kept = _through_grams(self.path, self.files, self.kept, p)
+        self.kept = through_index(self.path, self.kept, p)
         yield from filters
 
     def partitions(self):
         return [File(p) for p in (self.kept if self.kept is not None else [f["path"] for f in self.files])]
 
     def read(self, partition: File):
-        import pyarrow.dataset as ds
+        yield from opened(partition.path).to_batches(columns=self.schema.names)
 
-        path = partition.path.removeprefix("file:")
-        for batch in ds.dataset(path, format="parquet").to_batches(columns=self.schema.names):
-            yield batch
 
+def opened(path: str):
+    import pyarrow.dataset as ds
+    import pyarrow.fs as fs
+
+    if "://" not in path:
+        return ds.dataset(path.removeprefix("file:"), format="parquet")
+    where, at = fs.FileSystem.from_uri(path)
+    return ds.dataset(at, format="parquet", filesystem=where)
 
-def _through_grams(root: str, files: list[dict], kept: list[str], p: P.Node | None) -> list[str]:
-    """Drops files whose grams rule a substring out; the planning process has no session, so leaves are read with Arrow."""
+
+def _documents(folder: str) -> list[dict]:
     import json
     import os
 
+    if not os.path.isdir(folder):
+        return []
+    out = []
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".json") and not n.startswith(".")):
+        with open(f"{folder}/{name}", encoding="utf-8") as f:
+            out.append(json.load(f))
+    return out
+
+
+def _postings(leaves: list[str], key: str, asked: list[str]) -> dict[str, set[int]]:
     import pyarrow.compute as pc
-    import pyarrow.dataset as ds
+
+    have: dict[str, set[int]] = {}
+    for leaf in leaves:
+        rows = opened(leaf).to_table(columns=[key, "ordinals"], filter=pc.field(key).isin(asked))
+        for k, o in zip(rows[key].to_pylist(), rows["ordinals"].to_pylist(), strict=True):
+            have.setdefault(k, set()).update(o)
+    return have
+
+
+def through_index(root: str, kept: list[str], p: P.Node | None) -> list[str]:
+    """Drops files that grams (of substrings) or terms (of whole values) rule out; the planning process has no session, so leaves are read with Arrow."""
+    import json
 
     from skipscan.functions import text
+    from skipscan.plans.scan import _range
 
     base = root.removeprefix("file:")
-    with open(f"{base}/log.json", encoding="utf-8") as f:
+    with open(f"{base}/table.json", encoding="utf-8") as f:
         ids = {x["name"]: x["id"] for x in json.load(f)["fields"]}
     for x in P.conjuncts(p):
-        at = f"{base}/index/{ids.get(x.column)}/meta.json"
-        if x.op not in ("contains", "starts_with") or not isinstance(x.value, str) or not os.path.exists(at):
-            continue
-        with open(at, encoding="utf-8") as f:
-            meta = json.load(f)
-        if not meta["leaves"]["grams"] or any(len(v) < meta["ngram"] for v in text.lowered_variants(x.value)):
+        metas = _documents(f"{base}/index/{ids.get(x.column)}/meta")
+        values = x.value if x.op == "in" else (x.value,)
+        if not metas or not all(isinstance(v, str) for v in values):
             continue
-        sets = [text.grams_of(v, meta["ngram"]) for v in text.lowered_variants(x.value)]
-        asked = sorted({g for s in sets for g in s})
-        leaf = ds.dataset(meta["leaves"]["grams"].removeprefix("file:"), format="parquet").to_table(filter=pc.field("gram").isin(asked))
-        have = {g: set(o) for g, o in zip(leaf["gram"].to_pylist(), leaf["ordinals"].to_pylist(), strict=True)}
-        named = set().union(*(set.intersection(*(have.get(g, set()) for g in s)) for s in sets))
-        covered = {c["path"]: c["ordinal"] for c in meta["coverage"] if c["live"]}
-        kept = [k for k in kept if k not in covered or covered[k] in named]
+        meta, named = metas[-1], None
+        if x.op in ("contains", "starts_with") and meta["leaves"]["grams"] and all(len(v) >= meta["ngram"] for v in text.lowered_variants(x.value)):
+            sets = [text.grams_of(v, meta["ngram"]) for v in text.lowered_variants(x.value)]
+            have = _postings(meta["leaves"]["grams"], "gram", sorted({g for s in sets for g in s}))
+            named = set().union(*(set.intersection(*(have.get(g, set()) for g in s)) for s in sets))
+        elif x.op in ("eq", "in") and meta["analyzer"] == "value" and meta["tiers"][2] and all(v and text.indexable(v, meta["cap"]) for v in values):
+            routes = meta["leaves"]["ranges"]
+            leaves = sorted({routes[str(_range(v))] for v in values if str(_range(v)) in routes})
+            named = set().union(*_postings(leaves, "term", list(values)).values())
+        if named is not None:
+            covered = {c["path"]: c["ordinal"] for c in meta["coverage"] if c["live"]}
+            kept = [k for k in kept if k not in covered or covered[k] in named]
     return kept
 
 
@@ -92,20 +121,15 @@ class SkipScanSource(DataSource):
     def name(cls) -> str:
         return "skipscan"
 
-    def _log(self) -> dict:
-        import json
-
-        with open(f"{self.options['path'].removeprefix('file:')}/log.json", encoding="utf-8") as f:
-            return json.load(f)
-
     def schema(self) -> T.StructType:
         import json
 
-        return T.StructType.fromJson(json.loads(self._log()["schema"]))
+        with open(f"{self.options['path'].removeprefix('file:')}/table.json", encoding="utf-8") as f:
+            return T.StructType.fromJson(json.loads(json.load(f)["schema"]))
 
     def reader(self, schema: T.StructType) -> Reader:
         live: dict[str, dict] = {}
-        for s in self._log()["snapshots"]:
+        for s in _documents(f"{self.options['path'].removeprefix('file:')}/log"):
             for p in s["removed"]:
                 live.pop(p, None)
             live |= {f["path"]: f for f in s["added"]}
