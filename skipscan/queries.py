@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from skipscan.functions import kinds, text
 from skipscan.operators import dictionary as D
-from skipscan.plans import predicate as P
-from skipscan.plans import verdicts as V
 from skipscan.rules import compile as C
 from skipscan.rules.model import rule_of
 from skipscan.streaming import windows as W
@@ -113,7 +111,7 @@ def canonical_binary(s, d):
 
 @query("term_dictionary", f"SELECT term, count(DISTINCT seg) AS file_count, count(*) AS total_count, array_to_string(list_sort(list_distinct(list(seg))), ',') AS ordinals FROM {DICT} GROUP BY term")
 def term_dictionary(s, d):
-    return D.term_dictionary(doc_counts(s, d), "seg").withColumn("ordinals", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ","))
+    return D.term_dictionary(doc_counts(s, d), "seg").drop("counts").withColumn("ordinals", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ","))
 
 
 @query("gram_dictionary", f"SELECT gram, array_to_string(list_sort(list(seg)), ',') AS ordinals FROM {GRAM_PAIRS} GROUP BY gram")
@@ -124,12 +122,12 @@ def gram_dictionary(s, d):
 @query("value_dictionary", "SELECT p_brand AS term, count(DISTINCT p_partkey // 100) AS file_count, count(*) AS total_count FROM part GROUP BY 1")
 def value_dictionary(s, d):
     p = read(s, d, "part").select((F.col("p_partkey") / 100).cast("long").alias("seg"), "p_brand")
-    return D.term_dictionary(D.term_counts(p, "seg", D.terms_per_row(F.col("p_brand"), STRING, "value")), "seg").drop("ordinals")
+    return D.term_dictionary(D.term_counts(p, "seg", D.terms_per_row(F.col("p_brand"), STRING, "value")), "seg").drop("ordinals", "counts")
 
 
-@query("list_terms", f"SELECT term, count(*) AS total_count FROM (SELECT unnest(list_distinct({PIECES}[1:20])) AS term FROM documents) GROUP BY term")
+@query("list_terms", f"SELECT term, count(*) AS total_count FROM (SELECT unnest(list_distinct(list_filter({PIECES}, lambda t: length(t) <= 256))) AS term FROM documents) GROUP BY term")
 def list_terms(s, d):
-    rows = docs(s, d).select("seg", F.slice(text.pieces(F.col("text")), 1, 20).alias("v"))
+    rows = docs(s, d).select("seg", text.pieces(F.col("text")).alias("v"))
     return D.term_dictionary(D.term_counts(rows, "seg", D.terms_per_row(F.col("v"), T.ArrayType(STRING), "value")), "seg").select("term", "total_count")
 
 
@@ -141,7 +139,7 @@ def range_leaf_sizes(s, d):
 @query("dictionary_merge", f"SELECT term, count(DISTINCT seg) AS file_count, count(*) AS total_count FROM {DICT} GROUP BY term")
 def dictionary_merge(s, d):
     c = doc_counts(s, d)
-    return D.merged(D.term_dictionary(c.where("seg % 2 = 0"), "seg"), D.term_dictionary(c.where("seg % 2 = 1"), "seg")).drop("ordinals")
+    return D.merged(D.term_dictionary(c.where("seg % 2 = 0"), "seg"), D.term_dictionary(c.where("seg % 2 = 1"), "seg")).drop("ordinals", "counts")
 
 
 @query("gram_saturation", f"SELECT seg, count(DISTINCT gram) AS grams, count(DISTINCT c) AS signs FROM (SELECT seg, gram, unnest(string_split(gram, '')) AS c FROM {GRAM_PAIRS}) GROUP BY seg")
@@ -154,28 +152,9 @@ def bloom_might_contain(s, d):
     return D.bloom_might(D.bloom_words(doc_grams(s, d), "seg"), "seg", text.grams_of("license"))
 
 
-@query("coverage_after_departure", f"SELECT seg, (row_number() OVER (ORDER BY seg) - 1)::INTEGER AS ordinal, seg % 5 <> 0 AS live FROM {SEGS}")
-def coverage_after_departure(s, d):
-    from pyspark.sql import Window
-
-    return segs(docs(s, d)).select("seg", (F.row_number().over(Window.orderBy("seg")) - 1).alias("ordinal"), (F.col("seg") % 5 != 0).alias("live"))
-
-
-@query("compaction_remap", f"SELECT ordinal, (row_number() OVER (ORDER BY ordinal) - 1)::INTEGER AS renumbered FROM (SELECT seg, (row_number() OVER (ORDER BY seg) - 1)::INTEGER AS ordinal FROM {SEGS}) WHERE seg % 5 <> 0")
-def compaction_remap(s, d):
-    from pyspark.sql import Window
-
-    return coverage_after_departure(s, d).where("live").select("ordinal", (F.row_number().over(Window.orderBy("ordinal")) - 1).alias("renumbered"))
-
-
 # -- plans -----------------------------------------------------------------------
 
 
-def planned(s, d, named: DataFrame, covered: DataFrame | None = None) -> DataFrame:
-    files = segs(docs(s, d))
-    return V.verdicts(files, covered if covered is not None else files, named, "seg")
-
-
 def plan_sql(named: str, covered: str = "true") -> str:
     return f"SELECT seg, CASE WHEN NOT ({covered}) THEN 'unknown' WHEN seg IN ({named}) THEN 'hit' ELSE 'absent' END AS verdict FROM {SEGS}"
 
@@ -188,137 +167,6 @@ def having_terms(*terms: str) -> str:
     return " INTERSECT ".join(f"SELECT seg FROM {DICT} WHERE term = '{t}'" for t in terms)
 
 
-@query("plan_contains", plan_sql(having_grams("mit", "it ", "t l", " li", "lic")))
-def plan_contains(s, d):
-    return planned(s, d, V.holding_all(doc_grams(s, d), "gram", "seg", text.grams_of("MIT lic")))
-
-
-@query("plan_match_single", plan_sql(having_terms("apache")))
-def plan_match_single(s, d):
-    return planned(s, d, V.holding_all(doc_counts(s, d), "term", "seg", text.query_terms("Apache")))
-
-
-@query("plan_match_multi", plan_sql(having_terms("general", "public", "license")))
-def plan_match_multi(s, d):
-    return planned(s, d, V.holding_all(doc_counts(s, d), "term", "seg", text.query_terms("General Public License")))
-
-
-@query("plan_match_prefix", plan_sql(f"SELECT seg FROM {DICT} WHERE starts_with(term, 'licen')"))
-def plan_match_prefix(s, d):
-    return planned(s, d, doc_counts(s, d).where(F.col("term").startswith("licen")).select("seg").distinct())
-
-
-@query("plan_uncovered_kept", plan_sql(having_terms("apache"), "seg < 10"))
-def plan_uncovered_kept(s, d):
-    c = doc_counts(s, d)
-    return planned(s, d, V.holding_all(c, "term", "seg", ["apache"]), segs(docs(s, d)).where("seg < 10"))
-
-
-@query("plan_conjunction", plan_sql(f"({having_terms('license')}) INTERSECT ({having_grams('mit', 'it ')})"))
-def plan_conjunction(s, d):
-    a = V.holding_all(doc_counts(s, d), "term", "seg", ["license"])
-    return planned(s, d, a.join(V.holding_all(doc_grams(s, d), "gram", "seg", ["mit", "it "]), "seg", "left_semi"))
-
-
-def brands(s, d):
-    p = read(s, d, "part").select((F.col("p_partkey") / 100).cast("long").alias("seg"), "p_brand")
-    return D.term_counts(p, "seg", D.terms_per_row(F.col("p_brand"), STRING, "value")), segs(p)
-
-
-def value_plan(where: str, sql: str, name: str) -> None:
-    @query(name, f"SELECT seg, CASE WHEN bool_or({sql}) THEN 'hit' ELSE 'absent' END AS verdict FROM (SELECT p_partkey // 100 AS seg, p_brand FROM part) GROUP BY seg")
-    def run(s, d):
-        terms, files = brands(s, d)
-        return V.verdicts(files, files, terms.where(where).select("seg").distinct(), "seg")
-
-
-value_plan("term = 'Brand#13'", "p_brand = 'Brand#13'", "plan_eq")
-value_plan("term IN ('Brand#11', 'Brand#55')", "p_brand IN ('Brand#11', 'Brand#55')", "plan_in")
-value_plan("startswith(term, 'Brand#1')", "starts_with(p_brand, 'Brand#1')", "plan_starts_with")
-value_plan("term > 'Brand#22' AND term <= 'Brand#24'", "p_brand > 'Brand#22' AND p_brand <= 'Brand#24'", "plan_range")
-
-
-@query("plan_minmax", "SELECT l_orderkey // 1000 AS seg, max(l_shipdate) >= TIMESTAMP '1998-06-01' AS kept FROM lineitem GROUP BY 1")
-def plan_minmax(s, d):
-    b = read(s, d, "lineitem").groupBy((F.col("l_orderkey") / 1000).cast("long").alias("seg")).agg(F.max("l_shipdate").alias("hi"))
-    return b.select("seg", (F.col("hi") >= F.lit("1998-06-01").cast("timestamp_ntz")).alias("kept"))
-
-
-@query("plan_or_not_pruned", f"SELECT seg, 'unknown' AS verdict FROM {SEGS}")
-def plan_or_not_pruned(s, d):
-    p = P.eq("text", "x") | P.eq("text", "y")
-    assert P.conjuncts(p) == []
-    files = segs(docs(s, d))
-    return V.verdicts(files, files.limit(0), files.limit(0), "seg")
-
-
-@query("plan_short_literal_kept", f"SELECT seg, 'unknown' AS verdict FROM {SEGS}")
-def plan_short_literal_kept(s, d):
-    files = segs(docs(s, d))
-    askable = len("ti") >= text.NGRAM
-    return V.verdicts(files, files if askable else files.limit(0), files.limit(0), "seg")
-
-
-@query("scan_contains_rows", "SELECT doc_id FROM documents WHERE contains(lower(text), 'mit license')")
-def scan_contains_rows(s, d):
-    kept = V.holding_all(doc_grams(s, d), "gram", "seg", text.grams_of("MIT License"))
-    return docs(s, d).join(kept, "seg", "left_semi").where(P.row_filter(P.contains("text", "MIT License"))).select("doc_id")
-
-
-@query("scan_match_rows", f"SELECT doc_id FROM documents WHERE list_contains({TOKENS}, 'license') AND list_contains({TOKENS}, 'mit')")
-def scan_match_rows(s, d):
-    kept = V.holding_all(doc_counts(s, d), "term", "seg", ["mit", "license"])
-    return docs(s, d).join(kept, "seg", "left_semi").where(text.match(F.col("text"), "MIT License")).select("doc_id")
-
-
-@query("incremental_scan", "SELECT event_id, event_type FROM events WHERE event_id // 500 > 3 AND event_id // 500 <= 7")
-def incremental_scan(s, d):
-    return events(s, d).where("seg > 3 AND seg <= 7").select("event_id", "event_type")
-
-
-@query("time_travel_scan", "SELECT event_type, count(*) AS n FROM events WHERE event_id // 500 <= 5 GROUP BY 1")
-def time_travel_scan(s, d):
-    return events(s, d).where("seg <= 5").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-@query("files_by_lower_bound", "SELECT seg, row_number() OVER (ORDER BY lo NULLS LAST, seg) AS place FROM (SELECT event_id // 500 AS seg, min(ts) AS lo FROM events GROUP BY 1)")
-def files_by_lower_bound(s, d):
-    from pyspark.sql import Window
-
-    per = events(s, d).groupBy("seg").agg(F.min("ts").alias("lo"))
-    return per.select("seg", F.row_number().over(Window.orderBy(F.asc_nulls_last("lo"), "seg")).cast("long").alias("place"))
-
-
-# -- counts and hunts ------------------------------------------------------------
-
-
-@query("count_term", f"SELECT count(*) AS n, count(DISTINCT seg) AS files FROM {DICT} WHERE term = 'the'")
-def count_term(s, d):
-    return doc_counts(s, d).where("term = 'the'").agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"), F.count_distinct("seg").alias("files"))
-
-
-@query("count_prefix", f"SELECT count(*) AS n, count(DISTINCT seg) AS files FROM {DICT} WHERE starts_with(term, 'th')")
-def count_prefix(s, d):
-    return doc_counts(s, d).where(F.col("term").startswith("th")).agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"), F.count_distinct("seg").alias("files"))
-
-
-@query("count_value_rows", "SELECT c_mktsegment AS term, count(*) AS n, count(DISTINCT c_custkey // 100) AS files FROM customer GROUP BY 1")
-def count_value_rows(s, d):
-    c = read(s, d, "customer").select((F.col("c_custkey") / 100).cast("long").alias("seg"), "c_mktsegment")
-    return D.term_dictionary(D.term_counts(c, "seg", D.terms_per_row(F.col("c_mktsegment"), STRING, "value")), "seg").select("term", F.col("total_count").alias("n"), F.col("file_count").alias("files"))
-
-
-@query("hunt_term", plan_sql(having_terms("token"), "seg % 3 <> 0"))
-def hunt_term(s, d):
-    return planned(s, d, V.holding_all(doc_counts(s, d), "term", "seg", ["token"]), segs(docs(s, d)).where("seg % 3 <> 0"))
-
-
-@query("hunt_rule_anyof", plan_sql(f"({having_terms('token')}) UNION ({having_terms('apache')})"))
-def hunt_rule_anyof(s, d):
-    c = doc_counts(s, d)
-    return planned(s, d, c.where(F.col("term").isin("token", "apache")).select("seg").distinct())
-
-
 # -- rules -----------------------------------------------------------------------
 
 
@@ -351,18 +199,13 @@ rule_query("rule_quantifiers", {"detection": {"x1": {"column": "event_type", "eq
 rule_query("rule_min_count", {"where": {"column": "event_type", "equals": "error"}, "min_count": 80}, "event_type = 'error'")
 
 
-@query("rule_container_any", f"SELECT seg, count(*) AS matched_rows FROM (SELECT {SEG} AS seg, {PIECES}[1:10] AS v FROM documents) WHERE list_contains(v, 'the') GROUP BY seg")
+@query("rule_container_any", f"SELECT seg, count(*) AS matched_rows FROM (SELECT {SEG} AS seg, {PIECES} AS v FROM documents) WHERE list_contains(v, 'the') GROUP BY seg")
 def rule_container_any(s, d):
-    rows = docs(s, d).select("seg", "doc_id", F.slice(text.pieces(F.col("text")), 1, 10).alias("v"))
+    rows = docs(s, d).select("seg", "doc_id", text.pieces(F.col("text")).alias("v"))
     rule = rule_of({"id": "r", "table": "t", "where": {"column": "v", "equals": "the"}})
     return C.evaluate(rows, [rule], "seg", "doc_id").select("seg", "matched_rows")
 
 
-@query("rule_min_count_index", f"SELECT seg, count(*) AS n FROM {DICT} WHERE term = 'license' GROUP BY seg HAVING count(*) >= 2")
-def rule_min_count_index(s, d):
-    return doc_counts(s, d).where("term = 'license' AND occurrences >= 2").select("seg", F.col("occurrences").alias("n"))
-
-
 # -- windows ---------------------------------------------------------------------
 
 HOURS6 = 6 * 3_600_000
@@ -432,6 +275,9 @@ workload("w_terms_enum", "SELECT DISTINCT c_name FROM customer WHERE c_name LIKE
 workload("w_token_regexp", "SELECT count(*) AS n FROM documents WHERE lower(text) RLIKE '(^|[^a-z0-9])apache([^a-z0-9]|$)'", "SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])apache([^a-z0-9]|$)')")
 
 
+from skipscan import queries_lake  # noqa: E402  (it registers queries here)
+
+
 def indexed_scan(spark, sf_dir: str) -> DataFrame:
-    """The flagship: documents with a phrase, through the gram dictionary."""
-    return scan_contains_rows(spark, sf_dir)
+    """The flagship: documents with a phrase, through a table and its index."""
+    return queries_lake.scan_contains_rows(spark, sf_dir)
