@@ -208,7 +208,7 @@ class Index:
             before = [leaves["ranges"][str(r)] for r in sorted(touched) if str(r) in leaves["ranges"]]
             parts = [] if new is None else [new.drop("range")]
             if before:
-                kept = spark.read.parquet(*before).select("term", "file_count", "total_count", "ordinals", "counts")
+                kept = spark.read.schema(D.TERM_LEAF).parquet(*before).select("term", "file_count", "total_count", "ordinals", "counts")
                 parts.append(kept if moved is None else D.renumbered(kept, "term", moved))
             out = parts[0] if len(parts) == 1 else D.merged(*parts) if parts else None
             if out is not None:
@@ -226,7 +226,7 @@ class Index:
             # New files get a leaf of their own; leaves are merged when there are many, or when files are renumbered.
             parts = [] if pairs is None else [D.gram_dictionary(pairs, "ordinal")]
             if leaves["grams"] and (moved is not None or len(leaves["grams"]) >= LEAVES):
-                prior = spark.read.parquet(*leaves["grams"])
+                prior = spark.read.schema(D.GRAM_LEAF).parquet(*leaves["grams"])
                 parts.append(prior if moved is None else D.renumbered(prior, "gram", moved))
                 leaves["grams"] = []
             if parts:
@@ -260,7 +260,7 @@ class Index:
 
     def terms(self, meta: dict | None = None) -> DataFrame | None:
         paths = sorted((meta or self.meta())["leaves"]["ranges"].values())
-        return self.spark.read.parquet(*paths) if paths else None
+        return self.spark.read.schema(D.TERM_LEAF).parquet(*paths) if paths else None
 
     def status(self) -> dict:
         """How far the index is behind its table."""

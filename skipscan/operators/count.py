@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skipscan.functions import kinds, text
+from skipscan.operators import dictionary as D
 from skipscan.operators.build import Index
-from skipscan.plans.scan import PREFIX_TERMS, _Tiers
+from skipscan.plans.scan import PREFIX_TERMS, _range, _Tiers
 from skipscan.sources.table import Table
 
 
@@ -59,7 +60,11 @@ def count(table: Table, column: str, term: str | None = None, prefix: str | None
             raise CountRefused("prefix_terms", "too many terms start so")
         n = run.agg(F.sum("total_count")).first()[0] or 0
         return {"count": n, "files": run.select(F.explode("ordinals")).distinct().count()}
-    row = terms.where(F.col("term") == asked[0]).select("total_count", "file_count").first()
+    # One term stands in one leaf.
+    leaf = meta["leaves"]["ranges"].get(str(_range(asked[0])))
+    if leaf is None:
+        return {"count": 0, "files": 0}
+    row = table.spark.read.schema(D.TERM_LEAF).parquet(leaf).where(F.col("term") == asked[0]).select("total_count", "file_count").first()
     return {"count": row[0], "files": row[1]} if row else {"count": 0, "files": 0}
 
 

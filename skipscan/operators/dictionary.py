@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from skipscan.functions import kinds, text
 
 RANGES = "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Columns of stored leaves; with them a read needs no look at a file first.
+TERM_LEAF = "term string, file_count long, total_count long, ordinals array<int>, counts array<long>"
+GRAM_LEAF = "gram string, ordinals array<int>"
 
 
 def terms_per_row(c: Column, t: T.DataType, analyzer: str, cap: int = text.CAP) -> Column:

@@ -87,7 +87,7 @@ class _Tiers:
         if not self.meta["leaves"]["grams"] or sets is None:
             return self.unknown()
         asked = sorted({g for s in sets for g in s})
-        leaf = self.spark.read.parquet(*self.meta["leaves"]["grams"]).where(F.col("gram").isin(asked))
+        leaf = self.spark.read.schema(D.GRAM_LEAF).parquet(*self.meta["leaves"]["grams"]).where(F.col("gram").isin(asked))
         found: dict[str, set[int]] = {}
         for r in leaf.collect():  # as many as the literal has grams, for each leaf
             found.setdefault(r["gram"], set()).update(r["ordinals"])
@@ -107,7 +107,7 @@ class _Tiers:
     def _leaves(self, asked: list[str]) -> DataFrame:
         routes = self.meta["leaves"]["ranges"]
         paths = sorted({routes[str(_range(t))] for t in asked if str(_range(t)) in routes})
-        return self.spark.read.parquet(*paths).where(F.col("term").isin(asked))
+        return self.spark.read.schema(D.TERM_LEAF).parquet(*paths).where(F.col("term").isin(asked))
 
     def counts(self, asked: list[str]) -> dict[int, int]:
         """How often the terms together stand in each file that has one."""

@@ -234,7 +234,10 @@ def leaf_bloom_no_miss(s, d):
 
 
 def counted(name: str, sql: str, table, column: str, **asked) -> None:
-    query(name, sql)(lambda s, d: rows(s, [(C.count(table(s, d), column, **asked)["count"], C.count(table(s, d), column, **asked)["files"])], "n long, files long"))
+    @query(name, sql)
+    def run(s, d):
+        found = C.count(table(s, d), column, **asked)
+        return rows(s, [(found["count"], found["files"])], "n long, files long")
 
 
 counted("count_term", f"SELECT count(*) AS n, count(DISTINCT seg) AS files FROM {DICT} WHERE term = 'the'", lake.documents, "text", term="The")
