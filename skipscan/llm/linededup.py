@@ -34,19 +34,19 @@ PARTED, PARTS = 12, 4
 
 
 def templates(text: Column) -> Column:
-    """Each line of the text, with single spaces and its variable fields masked.
+    """An empty string, then each line of the text, with single spaces and its variable fields masked.
 
-    Done on the whole text at once; a field is looked for where a word begins alone,
-    so that a long word is read once."""
-    spaced = F.regexp_replace(text, r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")
-    return F.split(F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>"), "\n")
+    Done on the whole text at once; a field is looked for behind a separator alone, so
+    that a long word is read once, and the line break in front gives each word one."""
+    spaced = F.regexp_replace(text, r"[ \t\x0B\f\r](?:[ \t\x0B\f\r]++|(?<! ))", " ")
+    return F.split(F.regexp_replace(F.concat(F.lit("\n"), spaced), r"([ \n])[^ \n0-9]*+[0-9][^ \n]*+", "$1<*>"), "\n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """d, th, pos and keys (h, g) of the templates of each line; th tells texts of one doc_id apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), templates(F.col("text")).alias("lines"))
     # The outer form: from the inner one the planner infers filters that make the templates anew, twice. A null text has no words, so it goes below.
-    rows = texts.select("d", "th", F.posexplode_outer("lines").alias("pos", "line")).select("d", "th", "pos", F.trim("line").alias("t"))
+    rows = texts.select("d", "th", F.posexplode_outer("lines").alias("pos", "line")).select("d", "th", (F.col("pos") - 1).alias("pos"), F.trim("line").alias("t"))
     # Sizes in bytes, which need no walk over the text.
     spaces = F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" ")))
     rows = rows.select("*", F.when(F.col("t") == "", 0).otherwise(spaces + 1).alias("n")).where(F.col("n") >= LEAST_WORDS)
