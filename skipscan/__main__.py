@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from skipscan.functions import text
 from skipscan.operators import count as C
 from skipscan.operators.build import BuildRefused, Index, Settings
 from skipscan.sources.table import Table
@@ -21,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("table")
         c.add_argument("column")
         if name == "index":
-            c.add_argument("--analyzer", choices=("tokens", "value"), default="tokens")
+            c.add_argument("--analyzer", choices=text.ANALYZERS, default="tokens")
             c.add_argument("--per-pass", type=int)
             for tier in ("bloom", "grams", "terms"):
                 c.add_argument(f"--no-{tier}", action="store_true")

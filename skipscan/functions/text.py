@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CAP = 256
+#: Contracts of terms: tokens are pieces and compounds, pieces leave compounds out, short-pieces long numbers too.
+ANALYZERS = ("tokens", "pieces", "short-pieces", "value")
+SHORT_NUMBER = 4
+LONG_NUMBER = f"[0-9]{{{SHORT_NUMBER + 1},}}"
 NGRAM = 3
 
 PIECE, RUN, EDGE = "[a-z0-9]+", "[a-z0-9.:_-]+", "[.:_-]"
@@ -53,6 +57,11 @@ def tokens(c: Column, cap: int = CAP) -> Column:
     return F.filter(F.concat(pieces(c), compounds(c)), lambda t: F.length(t) <= cap)
 
 
+def short_pieces(c: Column, cap: int = CAP) -> Column:
+    """Pieces without numbers of more than SHORT_NUMBER digits."""
+    return F.filter(pieces(c), lambda t: (F.length(t) <= cap) & ~t.rlike(f"^{LONG_NUMBER}$"))
+
+
 def value_terms(c: Column, cap: int = CAP) -> Column:
     """The whole canonical value as the one term; an empty or too long one gives none."""
     return F.filter(F.array(c), lambda t: t.isNotNull() & (t != "") & (F.length(t) <= cap))
@@ -79,21 +88,32 @@ def is_compound_text(r: str) -> bool:
     return bool(re.fullmatch("[0-9a-f:]+", r)) and 2 <= r.count(":") <= 7 and ":::" not in r and r.count("::") <= 1 and any(c.isdigit() for c in r) and not re.search("[0-9a-f]{5}", r)
 
 
-def query_terms(text: str) -> list[str]:
-    """Terms that a value must hold to match: compounds, and pieces outside them."""
+def query_terms(text: str, analyzer: str = "tokens") -> list[str]:
+    """Terms that a value must hold to match: compounds, and pieces outside them; without compounds, all pieces."""
     low, out = text.translate(str.maketrans(UPPER, LOWER)), []
+    if analyzer == "value":
+        return [text]
+    if analyzer != "tokens":
+        return list(dict.fromkeys(re.findall(PIECE, low)))
     for r in re.findall(RUN, low):
         bare = r.strip(".:_-")
         out += [bare] if is_compound_text(bare) else re.findall(PIECE, r)
     return list(dict.fromkeys(out))
 
 
-def indexable(term: str, cap: int = CAP) -> bool:
+def indexable(term: str, cap: int = CAP, analyzer: str = "tokens") -> bool:
+    if analyzer == "short-pieces" and re.fullmatch(LONG_NUMBER, term):
+        return False
     return 0 < len(term.encode("utf-16-le")) // 2 <= cap
 
 
 def prefixable(term: str, analyzer: str) -> bool:
-    return bool(term) if analyzer == "value" else bool(re.fullmatch("[a-z0-9.:_-]+", term))
+    """Whether the dictionary has all terms that start so; where long numbers are left out, no digits alone do."""
+    if analyzer == "value":
+        return bool(term)
+    if analyzer == "short-pieces" and term.isdigit():
+        return False
+    return bool(re.fullmatch("[a-z0-9.:_-]+" if analyzer == "tokens" else PIECE, term))
 
 
 def grams_of(text: str, n: int = NGRAM) -> list[str]:

@@ -36,7 +36,7 @@ class BuildRefused(RuntimeError):
 
 @dataclass
 class Settings:
-    analyzer: str = "tokens"  # or value
+    analyzer: str = "tokens"  # or another of text.ANALYZERS
     cap: int = text.CAP
     ngram: int = text.NGRAM
     bloom: bool = True
@@ -48,10 +48,13 @@ class Settings:
     dead_share: float = DEAD_SHARE
     pass_bytes: int | None = None  # most bytes of new files in a pass; one file is always taken
     more: tuple[str, ...] = ()  # tiers of other makers, by name
+    most_grams: int | None = None  # (file, gram) pairs of a pass, beyond which the gram tier is given up until a full build
+    most_bloom_bytes: int | None = None  # bytes of a pass's bloom filters, and
+    most_terms: int | None = None  # (file, term) pairs of a pass, beyond which a build is refused
     extra: dict = field(default_factory=dict)
 
     def contract(self) -> str:
-        if self.cap <= 0 or not 2 <= self.ngram <= 8 or self.analyzer not in ("tokens", "value"):
+        if self.cap <= 0 or not 2 <= self.ngram <= 8 or self.analyzer not in text.ANALYZERS:
             raise BuildRefused("cap, n-gram size or analyzer out of range")
         return f"skipscan-{self.analyzer}-v1-max{self.cap}/grams-v1-n{self.ngram}"
 
@@ -158,14 +161,15 @@ class Index:
         if compacting:
             live = [c for c in coverage if c["live"]] + added
             remap = {c["ordinal"]: i for i, c in enumerate(live)}
-        leaves = self._write(settings, None if full else old, added, remap, report)
+        given_up = [] if full else list(old.get("given_up", ()))
+        leaves = self._write(settings, None if full else old, added, remap, report, given_up)
         coverage = coverage + added
         if remap is not None:
             coverage = [dict(c, ordinal=remap[c["ordinal"]]) for c in coverage if c["ordinal"] in remap]
         exact = (full or old["counts_exact"]) and not departed and not revived
         meta = {
             "build_id": report["build_id"], "contract": settings.contract(), "analyzer": settings.analyzer, "cap": settings.cap, "ngram": settings.ngram, "fpp": settings.fpp,
-            "tiers": tiers, "coverage": coverage, "leaves": leaves, "partial": report["partial"], "counts_exact": exact,
+            "tiers": tiers, "given_up": given_up, "coverage": coverage, "leaves": leaves, "partial": report["partial"], "counts_exact": exact,
             "snapshot": report["snapshot"], "delete_files": now.delete_files if now else 0, "built_ms": int(time.time() * 1000),
         }
         if not store.put_next(self.spark, f"{self.root}/meta", number, meta):
@@ -183,7 +187,7 @@ class Index:
         """The reports of all builds, oldest first."""
         return [store.read_json(self.spark, f"{self.root}/reports/{n}") for n in store._names(self.spark, f"{self.root}/reports", ".json")]
 
-    def _write(self, s: Settings, old: dict | None, added: list[dict], remap: dict | None, report: dict) -> dict:
+    def _write(self, s: Settings, old: dict | None, added: list[dict], remap: dict | None, report: dict, given_up: list[str]) -> dict:
         spark, at = self.spark, f"{self.root}/leaves/{report['build_id']}"
         leaves = dict(old["leaves"]) if old else {"ranges": {}, "grams": [], "bloom": [], "more": {}}
         if not added and remap is None:
@@ -204,6 +208,8 @@ class Index:
             if rows is not None:
                 new = D.term_dictionary(D.term_counts(rows, "ordinal", D.terms_per_row(F.col("v"), t, s.analyzer, s.cap)), "ordinal").withColumn("range", D.range_of(F.col("term")))
                 new = self._stored(new, f"{at}/new-terms")
+                if s.most_terms is not None and (n := new.agg(F.coalesce(F.sum("file_count"), F.lit(0))).first()[0]) > s.most_terms:
+                    raise BuildRefused(f"{n} terms of files, more than {s.most_terms}: index fewer files in a pass")
             touched = set(range(len(D.RANGES))) if remap is not None else {r[0] for r in new.select("range").distinct().collect()}
             before = [leaves["ranges"][str(r)] for r in sorted(touched) if str(r) in leaves["ranges"]]
             parts = [] if new is None else [new.drop("range")]
@@ -217,12 +223,20 @@ class Index:
                 have = {r[0] for r in spark.read.parquet(f"{at}/terms").select("range").distinct().collect()} if store.listed(spark, f"{at}/terms") else set()
                 leaves["ranges"] = {k: v for k, v in leaves["ranges"].items() if int(k) not in touched} | {str(r): f"{at}/terms/range={r}" for r in have}
         pairs = None
-        if rows is not None and (s.grams or s.bloom):
+        if rows is not None and (s.grams and "grams" not in given_up or s.bloom):
             pairs = self._stored(D.file_grams(rows, "ordinal", F.col("v"), t, s.ngram), f"{at}/pairs")
             full = D.gram_saturation(pairs, "ordinal", s.ngram).where("saturated").count()
             if full:
                 report["warnings"].append(f"{full} files hold about all grams of their alphabet")
-        if s.grams and (pairs is not None or remap is not None):
+            n = pairs.count() if s.most_grams is not None or s.most_bloom_bytes is not None else 0
+            if s.bloom and s.most_bloom_bytes is not None and (size := D.bloom_bytes(n, s.fpp)) > s.most_bloom_bytes:
+                raise BuildRefused(f"bloom filters of {size} bytes, more than {s.most_bloom_bytes}: index fewer files in a pass")
+            if s.grams and s.most_grams is not None and n > s.most_grams and "grams" not in given_up:
+                # Leaves that lack some covered files would call these absent, so none may stay.
+                given_up.append("grams")
+                leaves["grams"] = []
+                report["warnings"].append(f"{n} grams of files, more than {s.most_grams}: no gram tier until a full build")
+        if s.grams and "grams" not in given_up and (pairs is not None or remap is not None):
             # New files get a leaf of their own; leaves are merged when there are many, or when files are renumbered.
             parts = [] if pairs is None else [D.gram_dictionary(pairs, "ordinal")]
             if leaves["grams"] and (moved is not None or len(leaves["grams"]) >= LEAVES):

@@ -40,10 +40,10 @@ def count(table: Table, column: str, term: str | None = None, prefix: str | None
         if not text.prefixable(prefix, meta["analyzer"]):
             raise CountRefused("prefix", "no term can start so")
     else:
-        asked = [term] if value else text.query_terms(term)
+        asked = text.query_terms(term, meta["analyzer"])
         if len(asked) != 1:
             raise CountRefused("terms", f"{len(asked)} terms, not one")
-        if not text.indexable(asked[0], meta["cap"]):
+        if not text.indexable(asked[0], meta["cap"], meta["analyzer"]):
             raise CountRefused("not_indexable", "such terms are not in the index")
     if meta["snapshot"] != now.id:
         raise CountRefused("stale", "the index is behind the table")
@@ -82,12 +82,7 @@ def hunt(table: Table, column: str, terms: list[str], any_of: bool = True) -> li
     tiers = _Tiers(index, meta, files)
     out = None
     for t in terms:
-        asked = [t] if meta["analyzer"] == "value" else text.query_terms(t)
-        if not asked or any(not text.indexable(x, meta["cap"]) for x in asked):
-            verdict = tiers.unknown()
-        else:
-            found = tiers.postings(asked)
-            verdict = tiers.of(set.intersection(*(found.get(x, set()) for x in asked)))
+        verdict = tiers.holding(t)
         out = verdict if out is None else out.either(verdict) if any_of else out.both(verdict)
     out = out or tiers.unknown()
     return [{"path": p, "status": "hit" if p in out.hits else "miss" if p in out.absent else "unresolved"} for p in paths]

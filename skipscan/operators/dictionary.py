@@ -19,12 +19,16 @@ GRAM_LEAF = "gram string, ordinals array<int>"
 
 
 def terms_per_row(c: Column, t: T.DataType, analyzer: str, cap: int = text.CAP) -> Column:
-    """The terms of a row: tokens with repeats, or each distinct value once."""
+    """The terms of a row: tokens or pieces with repeats, or each distinct value once."""
     own = F.filter(kinds.members(c, t), lambda x: x.isNotNull())
     if analyzer == "value":
         return F.array_distinct(F.filter(own, lambda x: (x != "") & (F.length(x) <= cap)))
     if analyzer == "tokens":
         return F.flatten(F.transform(own, lambda x: text.tokens(x, cap)))
+    if analyzer == "pieces":
+        return F.flatten(F.transform(own, lambda x: F.filter(text.pieces(x), lambda t: F.length(t) <= cap)))
+    if analyzer == "short-pieces":
+        return F.flatten(F.transform(own, lambda x: text.short_pieces(x, cap)))
     raise ValueError(f"unknown analyzer {analyzer}")
 
 
@@ -86,6 +90,11 @@ def gram_saturation(pairs: DataFrame, where: str, n: int = text.NGRAM) -> DataFr
     return per.withColumn("saturated", (F.col("grams") >= 256) & (2 * F.col("grams") >= F.pow("signs", F.lit(n))))
 
 
+def bloom_bytes(pairs: int, fpp: float = 0.01) -> int:
+    """What the filters of so many (file, gram) pairs take, all files together."""
+    return math.ceil(-pairs * math.log(fpp) / math.log(2) ** 2 / 8)
+
+
 def bloom_words(pairs: DataFrame, where: str, fpp: float = 0.01) -> DataFrame:
     """where, m, k, word, bits: each file's bloom filter of its grams, as 64-bit words."""
     n = pairs.groupBy(where).agg(F.count("*").alias("n"))

@@ -42,6 +42,7 @@ class _Tiers:
         self.index, self.meta, self.spark = index, meta, index.spark
         self.ordinal = {c["path"]: c["ordinal"] for c in meta["coverage"] if c["live"]}
         self.files = frozenset(f["path"] for f in files)
+        self.notes: list[str] = []
         self.shape, self.kind = kinds.kind_of(kinds.field_type(index.table.schema, index.column))
 
     def of(self, ordinals) -> Partition:
@@ -132,9 +133,27 @@ class _Tiers:
             return set()
         run = terms.where(where(F.col("term")))
         if run.limit(PREFIX_TERMS + 1).count() > PREFIX_TERMS:
+            self.notes.append(f"more than {PREFIX_TERMS} terms: nothing is pruned by them")
             return None
         return {r[0] for r in run.select(F.explode("ordinals")).distinct().collect()}
 
+    def asked(self, value: str) -> list[str] | None:
+        """The terms of a literal under the index's contract; None where it does not hold them all."""
+        analyzer = self.meta["analyzer"]
+        terms = text.query_terms(value, analyzer)
+        return terms if terms and all(text.indexable(t, self.meta["cap"], analyzer) for t in terms) else None
+
+    def holding(self, value: str) -> Partition:
+        """The files with all terms of a literal. Where its compounds are not terms, their pieces only tell what is absent."""
+        terms = self.asked(value)
+        if terms is None:
+            return self.unknown()
+        found = self.postings(terms)
+        got = self.of(set.intersection(*(found.get(t, set()) for t in terms)))
+        if self.meta["analyzer"] == "value" or terms == text.query_terms(value):
+            return got
+        return Partition(frozenset(), got.absent, got.hits | got.unknown)
+
     def terms(self, p: P.Node) -> Partition:
         if not self.meta["tiers"][2]:
             return self.unknown()
@@ -148,11 +167,7 @@ class _Tiers:
             named = self.span(lambda t: t.startswith(p.value))
             return self.unknown() if named is None else self.of(named)
         if p.op == "match":
-            terms = [p.value] if value else text.query_terms(p.value)
-            if not terms or any(not text.indexable(t, self.meta["cap"]) for t in terms):
-                return self.unknown()
-            found = self.postings(terms)
-            return self.of(set.intersection(*(found.get(t, set()) for t in terms)))
+            return self.holding(p.value)
         if p.op == "match_prefix":
             prefix = p.value if value else p.value.translate(str.maketrans(text.UPPER, text.LOWER))
             if not text.prefixable(prefix, self.meta["analyzer"]):
@@ -224,7 +239,10 @@ def _asked(t: _Tiers | None, files: list[dict], report: ScanReport, probe) -> Pa
         return Partition.all_unknown(paths)
     t.files = paths
     try:
-        return probe(t)
+        got = probe(t)
+        report.notes += [f"{t.index.column}: {x}" for x in t.notes]
+        t.notes.clear()
+        return got
     except Exception as e:  # a tier that fails knows nothing: its files stay, and the report says so
         report.notes.append(f"{t.index.column}: {type(e).__name__}: {str(e)[:200]}")
         return Partition.all_unknown(paths)

@@ -80,6 +80,15 @@ def compound_tokens(s, d):
     return docs(s, d).select(F.explode(text.compounds(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
+SHORT_PIECES = f"list_filter({PIECES}, lambda t: length(t) <= 256 AND NOT regexp_full_match(t, '[0-9]{{5,}}'))"
+
+
+@query("short_piece_terms", f"SELECT term, count(DISTINCT seg) AS file_count, count(*) AS total_count FROM (SELECT {SEG} AS seg, unnest({SHORT_PIECES}) AS term FROM documents) GROUP BY term")
+def short_piece_terms(s, d):
+    counts = D.term_counts(docs(s, d), "seg", D.terms_per_row(F.col("text"), STRING, "short-pieces"))
+    return D.term_dictionary(counts, "seg").select("term", "file_count", "total_count")
+
+
 @query("grams_distinct", f"SELECT seg, count(*) AS n_grams FROM {GRAM_PAIRS} GROUP BY seg")
 def grams_distinct(s, d):
     return doc_grams(s, d).groupBy("seg").agg(F.count("*").alias("n_grams"))

@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipscan.functions import text
 from skipscan.operators.build import Index
 from skipscan.plans import predicate as P
 from skipscan.plans.scan import _Tiers
@@ -282,7 +281,11 @@ def on_index(table: Table, rule: Rule) -> list[dict]:
     got = of(rule.condition)
     out = [{"path": f["path"], "status": "hit" if f["path"] in got.hits else "miss" if f["path"] in got.absent else "unresolved"} for f in files]
     if rule.min_count > 1 and rule.fields[0].op == "match":
-        counts = tiers.counts([text.query_terms(v)[0] for v in rule.fields[0].values])
+        terms = [tiers.asked(v) for v in rule.fields[0].values]
+        if any(t is None or len(t) != 1 for t in terms):
+            # Some value is no one term of this index, so its files cannot be counted here.
+            return [x | {"status": "unresolved" if x["status"] == "hit" else x["status"]} for x in out]
+        counts = tiers.counts([t[0] for t in terms])
         enough = {p for p, o in tiers.ordinal.items() if counts.get(o, 0) >= rule.min_count}
         out = [x | {"status": "miss" if x["status"] == "hit" and x["path"] not in enough else x["status"]} for x in out]
     return out
