@@ -98,3 +98,10 @@ def test_tokens_of_columns_and_literals_agree(spark):
     df = spark.createDataFrame([(v,) for v in ODD if v is not None], "v string")
     for v, got in df.select("v", text.tokens(F.col("v"))).collect():
         assert got == [t for t in text.tokens_of(v) if len(t) <= text.CAP]
+
+
+def test_signs_of_files_are_counted_as_rows(spark):
+    pairs = spark.createDataFrame([(0, g) for g in ("abc", "bcd", "a", "", "é😀x")] + [(1, "ab"), (1, "aba")], "ordinal int, gram string")
+    got = D.gram_saturation(pairs, "ordinal")
+    assert sorted(map(tuple, got.select("ordinal", "grams", "signs").collect())) == [(0, 5, 8), (1, 2, 2)]
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
