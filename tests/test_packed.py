@@ -49,3 +49,11 @@ def test_gram_sets_and_what_is_made_of_them(odd, most, monkeypatch):
         assert known(D.bloom_of(sets)) == known(D.bloom_words(pairs, "ordinal").select("ordinal", "m", "k", "word", "bits"))
         got = D.gram_places(sets).groupBy("gram").agg(F.sort_array(F.flatten(F.collect_list("ordinals"))).alias("ordinals"))
         assert known(got) == known(D.gram_dictionary(pairs, "ordinal"))
+
+
+def test_bloom_query_makes_no_row_for_each_gram(spark, same):
+    from skipscan import queries
+
+    df = queries.QUERIES["leaf_bloom_no_miss"](spark, "/root/testdata/sf0.001")
+    same(df, queries.SQL["leaf_bloom_no_miss"], {"documents": "/root/testdata/sf0.001/documents.parquet"})
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
